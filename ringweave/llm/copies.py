@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ringweave.session import Scratch, union_all
 
@@ -32,7 +33,7 @@ def canonical(label: str, seq: str) -> Column:
     return F.when(F.length(letters) > 0, F.concat(letters, F.lit(" "), F.array_join(words, " ")))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _common(low: pd.Series, high: pd.Series) -> pd.Series:
     """Number of leading bytes that two values, and so all between them in order, have in common."""
 
