@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringweave.llm.copies import collapsed, copy_members
 from ringweave.llm.groups import linked_groups
+from ringweave.llm.packing import pack
 from ringweave.llm.spans import shared_spans, span_clusters
 from ringweave.llm.topn import top_items
 from ringweave.plans.tables import table
@@ -115,3 +116,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p5_collapsed", f"WITH {CANONICAL_SQL} SELECT min(ref_no) AS ref_no, count(*) AS n_copies FROM c WHERE s <> '' GROUP BY s, w")
 def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return collapsed(table(spark, folder, "df_references"), "ref_no", "id", "seq")
+
+
+@query("p6_packed")
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """No SQL: the tokenizer is not expressible in it; tested for whole texts, fixed capacity and fill instead."""
+    return pack(table(spark, folder, "documents"), "doc_id", "text", capacity=2048)
