@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringweave.llm.copies import collapsed, copy_members
 from ringweave.llm.groups import linked_groups
+from ringweave.llm.leaks import leaked_items
 from ringweave.llm.packing import pack
 from ringweave.llm.spans import shared_spans, span_clusters
 from ringweave.llm.topn import top_items
@@ -122,3 +123,17 @@ def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """No SQL: the tokenizer is not expressible in it; tested for whole texts, fixed capacity and fill instead."""
     return pack(table(spark, folder, "documents"), "doc_id", "text", capacity=2048)
+
+
+@query(
+    "p7_found",
+    """
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, lower(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+ew AS (SELECT item_id, lower(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM e WHERE len(w) >= 20))
+SELECT DISTINCT item_id, doc_id FROM dw JOIN ew USING (k)
+""",
+)
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "eval_items"), "item_id", "text", table(spark, folder, "documents"), "doc_id", "text", passage=20)
