@@ -9,6 +9,7 @@ from ringweave.llm.copies import collapsed, copy_members
 from ringweave.llm.groups import linked_groups
 from ringweave.llm.leaks import leaked_items
 from ringweave.llm.packing import pack
+from ringweave.llm.residue import residue_documents
 from ringweave.llm.spans import shared_spans, span_clusters
 from ringweave.llm.topn import top_items
 from ringweave.plans.tables import table
@@ -137,3 +138,9 @@ SELECT DISTINCT item_id, doc_id FROM dw JOIN ew USING (k)
 )
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "eval_items"), "item_id", "text", table(spark, folder, "documents"), "doc_id", "text", passage=20)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """No SQL: templates are mined with a prefix tree; tested on labelled fixtures and against a rule-by-rule loop."""
+    return residue_documents(table(spark, folder, "documents"), "doc_id", "text", "file_path")
