@@ -160,7 +160,7 @@ def accessions(spark, folder):
 )
 def replicons(spark, folder):
     """Accessions parsed from replicon texts composed of the listed plasmids, with and without the second part."""
-    listed = table(spark, folder, "samples").select("sample_id", F.explode(F.transform(F.split("plasmids", ","), F.trim)).alias("p")).filter("p <> ''")
+    listed = table(spark, folder, "samples").select("sample_id", F.explode(F.transform(F.split("plasmids", ","), lambda p: F.trim(p))).alias("p")).filter("p <> ''")
     text = F.concat(F.lit("plasmid:"), F.col("p"), F.lit("/"), F.when(F.col("sample_id") % 2 == 0, F.substring("p", 4, 99)).otherwise(""))
     return listed.select(
         "sample_id", S.replicon_accessions(text).alias("refseq"), S.replicon_accessions(text, "genbank").alias("genbank"), F.size(S.replicon_accessions(text, "both")).alias("n")
@@ -178,7 +178,7 @@ def released_before(spark, folder):
 )
 def unlisted_references(spark, folder):
     """References that no sample lists."""
-    listed = table(spark, folder, "samples").select(F.explode(F.transform(F.split("plasmids", ","), F.trim)).alias("contig"))
+    listed = table(spark, folder, "samples").select(F.explode(F.transform(F.split("plasmids", ","), lambda p: F.trim(p))).alias("contig"))
     return contig_lengths(spark, folder).join(listed, "contig", "left_anti").select("contig")
 
 
@@ -231,7 +231,7 @@ SELECT plasmid, gene_no, seq FROM (SELECT lpad(CAST(ref_no AS VARCHAR), 12, '0')
 def gene_database(spark, folder):
     """A database of stretches of 300 letters of references that qualify and that no sample lists."""
     rows = references(spark, folder).withColumn("accession", S.accession_in("id")).filter("accession is not null").withColumn("plasmid", F.lpad(F.col("ref_no").cast("string"), 12, "0"))
-    listed = table(spark, folder, "samples").select(F.explode(F.transform(F.split("plasmids", ","), F.trim)).alias("accession"))
+    listed = table(spark, folder, "samples").select(F.explode(F.transform(F.split("plasmids", ","), lambda p: F.trim(p))).alias("accession"))
     black = rows.join(listed, "accession", "left_semi").select("plasmid")
     cut = rows.select("plasmid", "s", F.posexplode(F.sequence(F.lit(1), F.length("s"), F.lit(300))).alias("i", "at"))
     stretches = cut.select("plasmid", (F.col("i") + 1).alias("gene_no"), F.expr("substring(s, at, 300)").alias("seq"))
