@@ -16,13 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringweave.operators.graph import both_ways, star_labels
 from ringweave.session import Scratch, union_all
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))))
-
-
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -30,7 +27,7 @@ def _pair(x: str, y: str) -> list[Column]:
 def _removable(edges: DataFrame, seed: int) -> DataFrame:
     """(v, lo, hi): an independent set of vertices of degree one (lo = hi) and two, with their neighbours."""
     low = (
-        _both_ways(edges).groupBy("v").agg(F.count("*").alias("degree"), F.min("u").alias("lo"), F.max("u").alias("hi"))
+        both_ways(edges).groupBy("v").agg(F.count("*").alias("degree"), F.min("u").alias("lo"), F.max("u").alias("hi"))
         .filter("degree <= 2")
         # Vertices of degree one come first; a new hash each round breaks ties along chains.
         .withColumn("rank", F.struct(F.col("degree"), F.xxhash64("v", F.lit(seed)).alias("h"), F.col("v")))
@@ -43,32 +40,6 @@ def _removable(edges: DataFrame, seed: int) -> DataFrame:
     return low.join(blocked, "v", "left_anti").select("v", "lo", "hi")
 
 
-def _star_step(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step on edges a < b."""
-    if large:
-        near = _both_ways(edges)
-        least = near.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        moved = near.filter("u > v").join(least, "v").select(F.col("m").alias("a"), F.col("u").alias("b"))
-    else:
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        moved = edges.join(least, "b").select(F.inline(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))))
-    return moved.filter("a <> b").distinct()
-
-
-def _core_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, label) of every vertex of the core; stars are the fixed point of the two steps."""
-    mark = None
-    step = 0
-    while True:
-        edges = scratch.write(_star_step(_star_step(edges, True), False), f"core{step}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if step:
-            scratch.drop(f"core{step - 1}")
-        if now == mark:
-            return edges.select(F.col("b").alias("v"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("v"), F.col("a").alias("label")).distinct())
-        mark, step = now, step + 1
-
-
 def linked_groups(pairs: DataFrame, left: str, right: str, *, seq: str = "seq_id", least_share: float = 0.05) -> DataFrame:
     """One row for each record that has a link: ``seq_id`` and ``group_id``, the smallest record of its group.
 
@@ -97,7 +68,7 @@ def linked_groups(pairs: DataFrame, left: str, right: str, *, seq: str = "seq_id
         scratch.drop(f"edges{r}")
         n_edges = edges.count()
     # Vertices that lost their last link without being removed are roots and label themselves.
-    known = _core_labels(edges, scratch) if n_edges else None
+    known = star_labels(edges, scratch) if n_edges else None
     pointers = [g.select("v", F.col("lo").alias("p")) for g in removed]
     if pointers:
         every = union_all(*pointers)
