@@ -1,0 +1 @@
+"""Readers of files into DataFrames, and writers back."""
