@@ -7,28 +7,32 @@ densities and everything behind growth (facts, subsets, classes, bins' order) ar
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringweave.functions.sequences import reverse_complement
 from ringweave.operators import graph as G
-from ringweave.operators.weighted import weighted_median
+from ringweave.operators.weighted import deviations, mean_of, weighted_median
 from ringweave.session import Scratch
 
 
 @dataclass(frozen=True)
 class Growth:
-    """Limits and weights of growth; None is no limit."""
+    """Limits, weights and ways of growth."""
 
     max_score: float = 0.5
     max_length: int = 1_750_000
     max_gc_diff: float = 0.15
     max_gap_nt: int = 0
     max_gap_segments: int = 2
+    by_segment: bool = False  # each segment once, with its whole depth; a step may close the ring
+    roulette: int | None = None  # seed of a draw by depth among the allowed steps; one step, as published
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0)  # depth, density, GC
 
 
@@ -53,30 +57,36 @@ class Chain:
         """A link and its mirror image are the same."""
         return min((a, b), ((b[0], FLIP[b[1]]), (a[0], FLIP[a[1]])))
 
-    def best_step(self, depths: dict, ways: dict, least_depth: float):
-        """(score, order, side, end, name, orientation) of the best allowed continuation, or None."""
-        depth, gc = self.average(lambda n: depths[n] / self.uses[n]), self.average(lambda n: self.facts[n].gc)
-        room = self.rules.max_length - sum(self.facts[m[1]].length for m in self.members)
-        best = None
-        for side, end in (("left", self.members[0]), ("right", self.members[-1])):
+    def steps(self, depths: dict, ways: dict, least_depth: float) -> list[tuple]:
+        """Allowed continuations (score, order, side, end, (name, orientation), link, share), the best first."""
+        rules, w, found = self.rules, self.rules.weights, []
+        split = (lambda n, k: 1) if rules.by_segment else (lambda n, k: self.uses[n] + k)
+        depth, gc = self.average(lambda n: depths[n] / split(n, 0)), self.average(lambda n: self.facts[n].gc)
+        room = rules.max_length - sum(self.facts[m[1]].length for m in self.members)
+        if depth <= 0 or (self.closed and rules.by_segment):
+            return []
+        for side, end, far in (("left", self.members[0], self.members[-1]), ("right", self.members[-1], self.members[0])):
             here = (end[1], end[2])
             for there in ways.get((side, *here), ()):
                 name, fact = there[0], self.facts[there[0]]
-                share = depths[name] / (self.uses[name] + 1)
+                known = rules.by_segment and self.uses[name] > 0
+                share = depths[name] / split(name, 1)
                 link = self.link(there, here) if side == "left" else self.link(here, there)
-                near = end[4] + fact.length <= self.rules.max_gap_nt or end[5] < self.rules.max_gap_segments or fact.has_genes
-                if link in self.links or share < least_depth or abs(gc - fact.gc) > self.rules.max_gc_diff or not near or fact.length > room or depth <= 0:
+                taken = name != far[1] if known else link in self.links
+                near = end[4] + fact.length <= rules.max_gap_nt or end[5] < rules.max_gap_segments or fact.has_genes
+                if taken or share < least_depth or abs(gc - fact.gc) > rules.max_gc_diff or not near or (0 if known else fact.length) > room:
                     continue
-                w = self.rules.weights
                 score = w[0] * abs(1 - share / depth) + w[1] * (1 - fact.density) + w[2] * abs(gc - fact.gc)
-                step = (score, (end[0], side, *there), side, end, there, link)
-                if score <= self.rules.max_score and (best is None or step[:2] < best[:2]):
-                    best = step
-        return best
+                if score <= rules.max_score:
+                    found.append((score, (end[0], side, *there), side, end, there, link, share))
+        return sorted(found, key=lambda s: s[:2])
 
     def take(self, step) -> None:
-        score, _, side, end, (name, orientation), link = step
+        score, _, side, end, (name, orientation), link, _ = step
         fact = self.facts[name]
+        if self.rules.by_segment and self.uses[name]:
+            self.closed = True
+            return
         gap = (0, 0) if fact.has_genes else (end[4] + fact.length, end[5] + 1)
         self.members.insert(0 if side == "left" else len(self.members), [self.next_id, name, orientation, score, *gap])
         self.links.add(link)
@@ -86,7 +96,7 @@ class Chain:
     def close(self) -> None:
         """Ends that are the same segment the same way round are one; the worse copy goes, but never the seed."""
         first, last = self.members[0], self.members[-1]
-        if len(self.members) > 1 and first[1:3] == last[1:3]:
+        if not self.rules.by_segment and len(self.members) > 1 and first[1:3] == last[1:3]:
             drop_first = last[0] == 0 or (first[0] != 0 and first[3] >= last[3])
             self.members.pop(0 if drop_first else -1)
             self.uses[first[1]] -= 1
@@ -102,12 +112,16 @@ def _grow(rules: Growth):
             ways.setdefault(("right", r.src, r.src_ori), []).append((r.dst, r.dst_ori))
             ways.setdefault(("left", r.dst, r.dst_ori), []).append((r.src, r.src_ori))
         seeds = list(nodes[nodes.place.notna()].sort_values("place").seg_name)
+        draw = random.Random(f"{rules.roulette}:{nodes.sample_id.iloc[0]}:{nodes.component.iloc[0]}") if len(nodes) else None
         out, found = [], 0
         while seeds:
             chain = Chain(seeds[0], facts, rules)
             least = facts[seeds[0]].least_depth
-            while step := chain.best_step(depths, ways, least):
-                chain.take(step)
+            while steps := chain.steps(depths, ways, least):
+                if rules.roulette is not None:
+                    chain.take(draw.choices(steps, [s[-1] for s in steps])[0])
+                    break
+                chain.take(steps[0])
             chain.close()
             average = chain.average(lambda n: depths[n] / chain.uses[n])
             shares = {n: min(depths[n] / k, average) for n, k in chain.uses.items() if k}
@@ -219,3 +233,72 @@ def record_heads(found: DataFrame) -> DataFrame:
         "plasmid_no", "seed", "length", "mean_depth", "density", "gc", F.col("circular").cast("int"),
     )
     return found.filter("seq is not null").select("sample_id", "plasmid_no", text.alias("head"), "seq")
+
+
+def seed_weights(seeds: DataFrame) -> DataFrame:
+    """Per sample the weights that the seeds' spread suggests: weighted deviations of depth, density and GC; 0 for one seed."""
+    spread = deviations(seeds, ["sample_id"], ["depth", "density", "gc"], "length").join(seeds.groupBy("sample_id").count(), "sample_id")
+    return spread.select("sample_id", *[F.when(F.col("count") > 1, F.col(f"{c}_sd")).otherwise(0.0).alias(n) for c, n in (("depth", "depth_diff"), ("density", "gene_density"), ("gc", "gc_diff"))])
+
+
+def unused_statistics(segments: DataFrame, members: DataFrame) -> DataFrame:
+    """Per sample: number, length, mean and median depth and GC of the segments that no candidate uses."""
+    rest = G.normal_segments(segments).join(members.select("sample_id", "seg_name").distinct(), ["sample_id", "seg_name"], "left_anti").filter("depth is not null and length is not null")
+    sums = rest.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("length").alias("length"), mean_of("depth", "length").alias("mean_depth"), mean_of("gc", "length").alias("gc"))
+    return sums.join(weighted_median(rest, ["sample_id"], "depth", "length", "median_depth"), "sample_id", "left")
+
+
+BINS = "sample_id int, plasmid_no int, bin_no int, place int"
+
+
+def _bins(factor: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["z", "plasmid_no"], ascending=[False, True])
+        depth, gc, ring, number = (rows[c].to_numpy() for c in ("mean_depth", "gc", "circular", "plasmid_no"))
+        free, out, bin_no = np.ones(len(rows), bool), [], 0
+        depth_room, gc_room = factor * rows.depth_sd.iloc[0], factor * rows.gc_sd.iloc[0]
+        for i in range(len(rows)):
+            if free[i]:
+                near = free & (np.abs(depth - depth[i]) <= depth_room) & (np.abs(gc - gc[i]) <= gc_room)
+                taken = np.array([i]) if ring[i] else np.flatnonzero(near)
+                free[taken] = False
+                out += [(rows.sample_id.iloc[0], number[j], bin_no, k) for k, j in enumerate(taken)]
+                bin_no += 1
+        return pd.DataFrame(out, columns=["sample_id", "plasmid_no", "bin_no", "place"])
+
+    return run
+
+
+def bins(found: DataFrame, segments: DataFrame, factor: float = 2.5) -> DataFrame:
+    """(sample_id, plasmid_no, bin_no, place): candidates that belong together by depth and GC.
+
+    From the highest sum of normalised depth, density and GC difference on, a candidate takes with it all that are left
+    within ``factor`` deviations; a ring stays alone. As published, depths are compared with the deviation of their
+    ratios to the sample's median. Only the short facts of a sample's candidates meet in one task.
+    """
+    normal = G.normal_segments(segments).filter("length is not null")
+    overall = normal.groupBy("sample_id").agg(mean_of("gc", "length").alias("overall"))
+    median = weighted_median(normal, ["sample_id"], "depth", "length", "median")
+    rows = found.filter("gc is not null and length > 0").select("sample_id", "plasmid_no", "length", "mean_depth", "density", "gc", "circular").join(overall, "sample_id").join(median, "sample_id")
+    rows = rows.withColumn("ratio", F.col("mean_depth") / F.col("median")).withColumn("gc_diff", F.abs(F.col("gc") - F.col("overall")))
+    spread = deviations(rows, ["sample_id"], ["ratio", "density", "gc_diff"], "length")
+    one = lambda c: F.when(F.col(c) < 1e-12, 1.0).otherwise(F.col(c))
+    z = sum((F.col(c) - F.col(f"{c}_mean")) / one(f"{c}_sd") for c in ("ratio", "density", "gc_diff"))
+    ranked = rows.join(spread, "sample_id").select("sample_id", "plasmid_no", "mean_depth", "gc", "circular", z.alias("z"), one("ratio_sd").alias("depth_sd"), one("gc_diff_sd").alias("gc_sd"))
+    return ranked.groupBy("sample_id").applyInPandas(_bins(factor), BINS)
+
+
+def tagged_lines(lines: DataFrame, members: DataFrame, classes: DataFrame, genes: DataFrame) -> DataFrame:
+    """(sample_id, ord, value): a graph's lines with a label and colour on segments of candidates, comments dropped.
+
+    lines: as read; classes: (sample_id, plasmid_no, class); genes: (sample_id, seg_name) of segments with genes, starred.
+    """
+    label = members.join(classes.select("sample_id", "plasmid_no", "class"), ["sample_id", "plasmid_no"]).groupBy("sample_id", "seg_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_set("plasmid_no")), lambda n: n.cast("string")), ",").alias("ids"), F.max(F.col("class") == "putative").alias("sure")
+    )
+    starred = genes.select("sample_id", "seg_name").distinct().withColumn("star", F.lit("*"))
+    rows = lines.filter(F.col("parts")[0].isin("H", "S", "L", "C", "P")).withColumn("seg_name", F.when(F.col("parts")[0] == "S", F.col("parts")[1]))
+    joined = rows.join(label, ["sample_id", "seg_name"], "left").join(starred, ["sample_id", "seg_name"], "left")
+    colour = F.when(F.col("sure"), "CL:z:blue").otherwise("CL:z:lightblue")
+    tags = F.when(F.col("ids").isNotNull(), F.concat(F.lit("\tLB:z:"), F.coalesce("star", F.lit("")), "ids", F.lit("\t"), colour)).otherwise("")
+    return joined.select("sample_id", "ord", F.concat(F.array_join("parts", "\t"), tags).alias("value"))

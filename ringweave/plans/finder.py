@@ -45,6 +45,16 @@ def plasmid_chains(spark, folder):
 
 
 
+@query("plasmid_bins")
+def plasmid_bins(spark, folder):
+    return P.bins(P.facts(members(spark, folder), *graph(spark, folder), densities(spark, folder)), table(spark, folder, "segments"))
+
+
+@query("unused_segments")
+def unused_segments(spark, folder):
+    return P.unused_statistics(table(spark, folder, "segments"), members(spark, folder))
+
+
 @query("gfa_segments", f"WITH {NORMAL} SELECT CAST(sample_id AS VARCHAR) AS sample_id, seg_name, seq, length, kmer_count, round(depth, 6) AS depth, round(gc, 6) AS gc FROM ns")
 def gfa_segments(spark, folder):
     """The segments written as GFA files, one for each sample, and read back."""

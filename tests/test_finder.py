@@ -62,3 +62,31 @@ def test_no_seed(spark):
     segments = spark.createDataFrame([(1, "a", "ACGT", 4, None, 1.0)], SEG)
     links, dens = spark.createDataFrame([], LINK), spark.createDataFrame([], DENS)
     assert P.grow(segments, links, dens).collect() == []
+
+
+def test_by_segment_closes_a_ring_once(spark):
+    segments = spark.createDataFrame([(1, n, "ACGTACGTAC", 10, None, 2.0) for n in "ab"], SEG)
+    links = spark.createDataFrame([(1, "a", "+", "b", "+", "0M"), (1, "b", "+", "a", "+", "0M")], LINK)
+    dens = spark.createDataFrame([(1, "a", 0.9, True), (1, "b", 0.5, True)], DENS)
+    got = P.grow(segments, links, dens, P.Growth(max_score=5, max_gc_diff=1, by_segment=True), min_density=0.8).collect()
+    assert sorted((r.seg_name, r.depth, r.circular) for r in got) == [("a", 2.0, True), ("b", 2.0, True)]
+    rules = P.Growth(max_score=5, max_gc_diff=1, roulette=3)
+    first, again = ([tuple(r) for r in P.grow(segments, links, dens, rules, min_density=0.8).collect()] for _ in range(2))
+    assert sorted(first) == sorted(again) and {r[-2] for r in first} <= {0, 1, True, False, 2.0} and len(first) >= 2
+
+
+def test_bins_labels_and_weights(spark):
+    facts = [(1, 0, 100, 2.0, 0.9, 0.5, False), (1, 1, 100, 2.1, 0.5, 0.5, False), (1, 2, 100, 9.0, 0.5, 0.5, False), (1, 3, 100, 2.05, 0.4, 0.5, True)]
+    found = spark.createDataFrame(facts, "sample_id int, plasmid_no int, length long, mean_depth double, density double, gc double, circular boolean")
+    segments = spark.createDataFrame([(1, "a", "ACGT", 4, None, 2.0)], SEG)
+    got = {r.plasmid_no: r.bin_no for r in P.bins(found, segments, 0.5).collect()}
+    assert got[0] == got[1] != got[2] and sorted(got) == [0, 1, 2, 3]
+    lines = spark.createDataFrame([("1", 0, ["H", "x"]), ("1", 1, ["S", "a", "AC"]), ("1", 2, ["S", "b", "AC"]), ("1", 3, ["#", "c"])], "sample_id string, ord int, parts array<string>")
+    members = spark.createDataFrame([("1", 2, "a"), ("1", 10, "a")], "sample_id string, plasmid_no int, seg_name string")
+    classes = spark.createDataFrame([("1", 2, "questionable"), ("1", 10, "putative")], "sample_id string, plasmid_no int, class string")
+    tagged = {r.ord: r.value for r in P.tagged_lines(lines, members, classes, members).collect()}
+    assert tagged == {0: "H\tx", 1: "S\ta\tAC\tLB:z:*2,10\tCL:z:blue", 2: "S\tb\tAC"}
+    seeds = spark.createDataFrame([(1, 10, 1.0, 0.5, 0.5), (1, 10, 3.0, 0.5, 0.5), (2, 5, 1.0, 1.0, 1.0)], "sample_id int, length int, depth double, density double, gc double")
+    assert {tuple(r) for r in P.seed_weights(seeds).collect()} == {(1, 1.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)}
+    rest = P.unused_statistics(segments, members.filter("false").select(members.sample_id.cast("int"), "seg_name")).first()
+    assert (rest.n, rest.length, rest.mean_depth, rest.median_depth) == (1, 4, 2.0, 2.0)
