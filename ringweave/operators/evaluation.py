@@ -103,3 +103,20 @@ def unpivoted(df: DataFrame, key: str, columns: list[str], name: str = "metric",
 
 def united(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def covered_length(refs: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Per tool: share of the length of all different references that some prediction covers well."""
+    each = refs.groupBy("tool", "plasmid_id").agg(F.max("length").alias("length"), F.max(F.coalesce("best_recall", F.lit(0.0))).alias("best"))
+    return each.groupBy("tool").agg(F.try_divide(F.sum(F.when(F.col("best") >= threshold, F.col("length")).otherwise(0)), F.sum("length")).alias("share"))
+
+
+def count_ratios(refs: DataFrame, part: Column) -> DataFrame:
+    """Per tool: rows, rows of which part holds, and their ratio."""
+    n = F.count_if(part)
+    return refs.groupBy("tool").agg(F.count("*").alias("n"), n.alias("n_part"), (n / F.count("*")).alias("ratio"))
+
+
+def sweep_table(runs: dict[str, DataFrame], keys: list[str], values: list[str]) -> DataFrame:
+    """Results of runs with different parameters as one long table with the run's name."""
+    return united(*[df.select(F.lit(name).alias("run"), *keys, *values) for name, df in runs.items()])

@@ -296,3 +296,27 @@ def genome_similarity(spark, folder):
     grp = F.when(F.coalesce(F.trim("plasmids"), F.lit("")) == "", "unlisted").otherwise("listed")
     found = W.distribution(joined.withColumn("grp", grp), ["grp"], "length")
     return found.select("grp", F.round("mean", 6).alias("mean"), F.round("q75", 6).alias("q75"), "maximum")
+
+
+@query(
+    "covered_length_shares",
+    """WITH e AS (SELECT tool, plasmid_id, max(length) AS length, max(coalesce(best_recall, 0)) AS best FROM eval_refs GROUP BY 1, 2)
+SELECT tool, round(sum(CASE WHEN best >= 0.9 THEN length ELSE 0 END) / sum(length), 9) AS share FROM e GROUP BY 1""",
+)
+def covered_length_shares(spark, folder):
+    return rounded(E.covered_length(table(spark, folder, "eval_refs")), "share")
+
+
+@query("good_ratios", "SELECT tool, count(*) AS n, count(*) FILTER (union_recall >= 0.9) AS n_part, round(count(*) FILTER (union_recall >= 0.9) / count(*), 9) AS ratio FROM eval_refs GROUP BY 1")
+def good_ratios(spark, folder):
+    return rounded(E.count_ratios(table(spark, folder, "eval_refs"), F.col("union_recall") >= 0.9), "ratio")
+
+
+@query(
+    "threshold_sweep",
+    "SELECT run, tool, count(*) FILTER (coalesce(best_recall, 0) >= t) AS n_best FROM eval_refs, (VALUES ('low', 0.5), ('middle', 0.8), ('high', 0.95)) v(run, t) GROUP BY 1, 2",
+)
+def threshold_sweep(spark, folder):
+    """Well found references under three thresholds."""
+    refs = table(spark, folder, "eval_refs")
+    return E.sweep_table({name: E.one_way(refs, t) for name, t in (("low", 0.5), ("middle", 0.8), ("high", 0.95))}, ["tool"], ["n_best"])

@@ -194,3 +194,23 @@ def extension_scores(spark, folder):
     joined = links.join(ends[0].withColumnRenamed("a_seg_name", "from_seg"), ["sample_id", "from_seg"]).join(ends[1].withColumnRenamed("b_seg_name", "to_seg"), ["sample_id", "to_seg"])
     score = extension_score(F.col("a_depth"), F.col("a_gc"), F.col("b_depth"), F.lit(0.0), F.col("b_gc"), {"depth_diff": 1.0, "gene_density": 0.5, "gc_diff": 0.25})
     return joined.filter("a_depth > 0 and b_depth is not null").select("sample_id", "from_seg", "to_seg", F.round(score, 6).alias("score"))
+
+
+@query(
+    "graph_against_scores",
+    f"""WITH {NORMAL}, {DEGREES},
+g AS (SELECT sample_id, avg(degree) AS mean_degree, count(*) FILTER (degree = 1) AS dead_ends FROM dg GROUP BY 1),
+r AS (SELECT sample_id, coalesce(length, 0) AS length, sum(coalesce(length, 0)) OVER (PARTITION BY sample_id ORDER BY coalesce(length, 0)) AS upto, sum(coalesce(length, 0)) OVER (PARTITION BY sample_id) AS total FROM ns),
+h AS (SELECT sample_id, min(length) AS n50 FROM r WHERE upto >= total / 2 GROUP BY 1),
+s AS (SELECT tool, sample_id, sum(length * coalesce(union_recall, 0)) / sum(length) AS recall FROM eval_refs GROUP BY 1, 2)
+SELECT tool, sample_id, round(recall, 9) AS recall, mean_degree, dead_ends, n50 FROM s JOIN g USING (sample_id) JOIN h USING (sample_id)""",
+)
+def graph_against_scores(spark, folder):
+    """Characteristics of each sample's graph beside each tool's recall on it."""
+    segments, links = graph(spark, folder)
+    degree = G.degrees(segments, links).groupBy("sample_id").agg(F.avg("degree").alias("mean_degree"), F.count_if(F.col("degree") == 1).alias("dead_ends"))
+    length = G.normal_segments(segments).select("sample_id", F.coalesce("length", F.lit(0)).alias("length"))
+    recall = (F.sum(F.col("length") * F.coalesce("union_recall", F.lit(0.0))) / F.sum("length")).alias("recall")
+    scores = table(spark, folder, "eval_refs").groupBy("tool", "sample_id").agg(recall)
+    joined = scores.join(degree, "sample_id").join(W.n50(length, ["sample_id"], "length"), "sample_id")
+    return joined.select("tool", "sample_id", F.round("recall", 9).alias("recall"), "mean_degree", "dead_ends", "n50")

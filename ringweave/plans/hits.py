@@ -165,3 +165,20 @@ def ring_coverage(spark, folder):
     hits = gene_hits(spark, folder).filter("sstart is not null and send is not null")
     pieces = hits.select("sseqid", F.inline(wrapped(F.least("sstart", "send").cast("bigint") - 1, F.greatest("sstart", "send").cast("bigint") - 1, F.lit(400))))
     return H.covered_bases(pieces.filter("`start` <= `end`"), "sseqid", "start", "end")
+
+
+@query("gene_contigs", f"WITH {GENE_HITS} SELECT DISTINCT qseqid AS gene_id, sseqid AS contig FROM gh")
+def gene_contigs(spark, folder):
+    """Which genes lie on which contigs."""
+    return gene_hits(spark, folder).select(F.col("qseqid").alias("gene_id"), F.col("sseqid").alias("contig")).distinct()
+
+
+@query(
+    "gene_spread",
+    f"WITH {GENE_HITS} SELECT gene_id, count(DISTINCT sseqid) AS n_contigs, count(DISTINCT CASE WHEN sstart IS NOT NULL AND send IS NOT NULL THEN (sseqid, sstart, send) END) AS n_locations FROM genes LEFT JOIN gh ON qseqid = gene_id GROUP BY 1",
+)
+def gene_spread(spark, folder):
+    """Contigs and locations of each gene, 0 for genes without hits."""
+    counts = gene_hits(spark, folder).groupBy(F.col("qseqid").alias("gene_id")).agg(F.count_distinct("sseqid").alias("c"), F.count_distinct("sseqid", "sstart", "send").alias("l"))
+    joined = table(spark, folder, "genes").select("gene_id").join(counts, "gene_id", "left")
+    return joined.select("gene_id", F.coalesce("c", F.lit(0)).alias("n_contigs"), F.coalesce("l", F.lit(0)).alias("n_locations"))
