@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringweave.functions.sequences import reverse_complement
+from ringweave.functions.sequences import flip, gc_fraction, reverse_complement, wrapped
 from ringweave.operators import graph as G
+from ringweave.operators.sweep import periods_and_gaps
 from ringweave.operators.weighted import deviations, mean_of, weighted_median
 from ringweave.session import Scratch
 
@@ -163,36 +164,69 @@ def grow(segments: DataFrame, links: DataFrame, densities: DataFrame, rules: Gro
     return members.join(numbered.withColumn("plasmid_no", number), ["sample_id", "component", "seed_place", "found"]).drop("seed_place", "found")
 
 
+def placed(members: DataFrame, segments: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with ``head`` and ``tail``, the overlaps cut off at either end, ``own`` length, and ``offset`` in the chain.
+
+    A member loses its overlap with the one before it; the last of a ring loses that with the first.
+    """
+    by = ["sample_id", "plasmid_no"]
+    order, whole = Window.partitionBy(*by).orderBy("pos"), Window.partitionBy(*by)
+    length = G.normal_segments(segments).select("sample_id", "seg_name", "seq", F.col("length").alias("seg_length"))
+    steps = members.select(*by, "seed", "circular", "pos", "seg_name", "orientation", "depth")
+    steps = steps.withColumn("before", F.lag(F.struct("seg_name", "orientation")).over(order)).withColumn("start", F.min_by(F.struct("seg_name", "orientation"), "pos").over(whole))
+    steps = steps.withColumn("after", F.when(F.col("circular") & (F.col("pos") == F.max("pos").over(whole)), F.col("start")))
+    ends = G.edges(links).groupBy("sample_id", "src", "src_ori", "dst", "dst_ori").agg(F.max("overlap").alias("ov"))
+    into = ends.select("sample_id", F.struct(F.col("src").alias("seg_name"), F.col("src_ori").alias("orientation")).alias("before"), F.col("dst").alias("seg_name"), F.col("dst_ori").alias("orientation"), F.col("ov").alias("head"))
+    out = ends.select("sample_id", F.col("src").alias("seg_name"), F.col("src_ori").alias("orientation"), F.struct(F.col("dst").alias("seg_name"), F.col("dst_ori").alias("orientation")).alias("after"), F.col("ov").alias("tail"))
+    joined = steps.join(into, ["sample_id", "before", "seg_name", "orientation"], "left").join(out, ["sample_id", "seg_name", "orientation", "after"], "left").join(length, ["sample_id", "seg_name"])
+    head = F.least(F.coalesce("head", F.lit(0)), "seg_length")
+    joined = joined.withColumn("head", head).withColumn("tail", F.least(F.coalesce("tail", F.lit(0)), F.col("seg_length") - head))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("seg_length") - F.col("head")).over(earlier), F.lit(0)) - F.col("head")
+    return joined.withColumn("own", F.col("seg_length") - F.col("head") - F.col("tail")).withColumn("offset", offset).drop("before", "after", "start")
+
+
 def facts(members: DataFrame, segments: DataFrame, links: DataFrame, densities: DataFrame) -> DataFrame:
     """Per candidate: length, mean depth, density, GC, sequence, number of members; lengths without the overlaps.
 
-    The sequence and its GC are null where a member's sequence is absent. Density is weighted by length.
+    The sequence and its GC are null where a member's sequence is absent. Density is weighted by length; see
+    ``chain_coverage`` for the one that lays the genes' stretches along the chain.
     """
     by = ["sample_id", "plasmid_no"]
-    order = Window.partitionBy(*by).orderBy("pos")
-    normal = G.normal_segments(segments).select("sample_id", "seg_name", "seq", F.col("length").alias("seg_length"))
-    steps = members.withColumn("prev", F.lag("seg_name").over(order)).withColumn("prev_ori", F.lag("orientation").over(order))
-    ends = Window.partitionBy(*by)
-    last = steps.withColumn("is_first", F.col("pos") == F.min("pos").over(ends))
-    closing = last.withColumn("end", F.max_by("seg_name", "pos").over(ends)).withColumn("end_ori", F.max_by("orientation", "pos").over(ends))
-    closing = closing.withColumn("prev", F.when(F.col("is_first") & F.col("circular"), F.col("end")).otherwise(F.col("prev")))
-    closing = closing.withColumn("prev_ori", F.when(F.col("is_first") & F.col("circular"), F.col("end_ori")).otherwise(F.col("prev_ori"))).drop("end", "end_ori")
-    overlaps = G.edges(links).groupBy("sample_id", F.col("src").alias("prev"), F.col("src_ori").alias("prev_ori"), F.col("dst").alias("seg_name"), F.col("dst_ori").alias("orientation")).agg(F.max("overlap").alias("overlap"))
-    joined = closing.join(overlaps, ["sample_id", "prev", "prev_ori", "seg_name", "orientation"], "left").join(normal, ["sample_id", "seg_name"]).join(densities, ["sample_id", "seg_name"], "left")
-    cut = F.least(F.coalesce("overlap", F.lit(0)), "seg_length")
     turned = F.when(F.col("orientation") == "+", F.col("seq")).otherwise(reverse_complement("seq"))
-    joined = joined.select(*by, "seed", "circular", "pos", "depth", (F.col("seg_length") - cut).alias("own"), F.coalesce("density", F.lit(0.0)).alias("density"), F.when(F.col("seq") != "*", F.substring(turned, cut + 1, F.lit(2**31 - 1))).alias("part"))
+    joined = placed(members, segments, links).join(densities.select("sample_id", "seg_name", "density"), ["sample_id", "seg_name"], "left")
+    joined = joined.select(*by, "seed", "circular", "pos", "depth", "own", F.coalesce("density", F.lit(0.0)).alias("density"), F.when(F.col("seq") != "*", F.substring(turned, F.col("head") + 1, F.col("own"))).alias("part"))
     total = F.sum("own")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("part", F.lit("")).alias("part")))), lambda x: x.part), "")
     found = joined.groupBy(*by, "seed", "circular").agg(
         total.cast("bigint").alias("length"), F.count("*").alias("n_members"), (F.sum(F.col("depth") * F.col("own")) / F.when(total > 0, total).otherwise(1)).alias("mean_depth"),
         (F.sum(F.col("density") * F.col("own")) / F.when(total > 0, total).otherwise(1)).alias("density"), F.when(F.count_if(F.col("part").isNull()) == 0, whole).alias("seq"),
     )
-    from ringweave.functions.sequences import gc_fraction
-
     return found.withColumn("gc", F.when(F.col("seq").isNotNull(), gc_fraction("seq")))
 
 
+def chain_coverage(members: DataFrame, segments: DataFrame, links: DataFrame, hits: DataFrame, *, published: bool = False) -> DataFrame:
+    """(sample_id, plasmid_no, covered, density): positions of the chain that genes cover, overlaps counted once.
+
+    hits: (sample_id, seg_name, sstart, send), 1-based. Stretches that run over a chain's end continue at its start.
+    published: as in the published densities, stretches on '-' lie one position high and position 0 does not count.
+    """
+    by = ["sample_id", "plasmid_no"]
+    known = hits.filter("sstart is not null and send is not null").select("sample_id", "seg_name", (F.least("sstart", "send") - 1).alias("a"), (F.greatest("sstart", "send") - 1).alias("b"))
+    place = placed(members, segments, links)
+    size = place.groupBy(*by).agg(F.sum("own").cast("bigint").alias("size"))
+    laid = place.select(*by, "seg_name", "orientation", "seg_length", "offset").join(known, ["sample_id", "seg_name"]).join(size, by)
+    shift = F.when((F.col("orientation") == "-") & F.lit(not published), 1).otherwise(0)
+    ends = flip(F.col("a"), F.col("b"), F.col("seg_length"), F.col("orientation"))
+    laid = laid.select(*by, "size", "offset", shift.alias("shift"), *ends).filter("size > 0")
+    at = lambda c: F.col(c).cast("bigint") + F.col("offset") - F.col("shift")
+    pieces = laid.select(*by, F.inline(wrapped(at("start"), at("end"), F.col("size"))))
+    pieces = pieces.withColumn("start", F.greatest("start", F.lit(1 if published else 0))).filter("`start` <= `end`")
+    covered = periods_and_gaps(pieces, by, {"": ("start", "end")}).filter("kind = 'period'").groupBy(*by).agg(F.sum(F.col("pos_to") - F.col("pos_from") + 1).alias("covered"))
+    joined = size.join(covered, by, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return joined.select(*by, "covered", F.try_divide("covered", "size").alias("density"))
+
+
 def subsets(members: DataFrame) -> DataFrame:
     """(sample_id, plasmid_no) of candidates whose segments all lie in a larger candidate, or in a later equal one.
 

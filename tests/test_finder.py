@@ -90,3 +90,27 @@ def test_bins_labels_and_weights(spark):
     assert {tuple(r) for r in P.seed_weights(seeds).collect()} == {(1, 1.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0)}
     rest = P.unused_statistics(segments, members.filter("false").select(members.sample_id.cast("int"), "seg_name")).first()
     assert (rest.n, rest.length, rest.mean_depth, rest.median_depth) == (1, 4, 2.0, 2.0)
+
+
+def test_coverage_along_a_ring(spark):
+    rng = random.Random(10)
+    names, length = "abc", {"a": 30, "b": 20, "c": 25}
+    segments = spark.createDataFrame([(1, n, "".join(rng.choice("ACGT") for _ in range(length[n])), length[n], None, 1.0) for n in names], SEG)
+    links = spark.createDataFrame([(1, "a", "+", "b", "-", "4M"), (1, "b", "-", "c", "+", "0M"), (1, "c", "+", "a", "+", "6M")], LINK)
+    chain = [("a", "+"), ("b", "-"), ("c", "+")]
+    members = spark.createDataFrame([(1, 0, "a", True, i, n, o, 1.0) for i, (n, o) in enumerate(chain)], "sample_id int, plasmid_no int, seed string, circular boolean, pos int, seg_name string, orientation string, depth double")
+    hits = [(n, a := rng.randrange(1, length[n] - 4), min(length[n], a + rng.randrange(1, 6))) for n in names for _ in range(2)] + [("c", 22, 25), ("a", 1, 3), ("b", 9, 5)]
+    size, offset, covered = 30 + 16 + 25 - 6, {"a": 0, "b": 26, "c": 46}, set()
+    for n, x, y in hits:
+        a, b = min(x, y) - 1, max(x, y) - 1
+        if n == "b":
+            a, b = 19 - b, 19 - a
+        covered |= {(offset[n] + p) % size for p in range(a, b + 1)}
+    df = spark.createDataFrame([(1, *h) for h in hits], "sample_id int, seg_name string, sstart int, send int")
+    got = P.chain_coverage(members, segments, links, df).first()
+    assert (got.covered, got.density) == (len(covered), pytest.approx(len(covered) / size))
+    assert P.chain_coverage(members, segments, links, df, published=True).first().covered <= len(covered) + 1
+    fact = P.facts(members, segments, links, spark.createDataFrame([], DENS)).first()
+    seq = {r.seg_name: r.seq for r in segments.collect()}
+    flipped = seq["b"][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    assert fact.seq == (seq["a"] + flipped[4:] + seq["c"])[:-6] and fact.length == size
