@@ -137,28 +137,72 @@ def _cut(span: int):
 WINDOW_DDL = "band bigint, n int, w0 bigint, w1 bigint, w2 bigint, at int, x bigint, y bigint, low bigint, high bigint"
 
 
+def _expanded(batch: pa.RecordBatch | pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place, and letters as two numbers, of each window of some paragraphs."""
+    n = batch.column("n").to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    words = np.stack([batch.column(f"w{j}").to_numpy().view(np.uint64) for j in range(WORDS)], axis=1)
+    shifts = np.arange(62, -2, -2, dtype=np.uint64)
+    letters = ((words[:, :, None] >> shifts) & np.uint64(3)).reshape(len(n), PARAGRAPH)
+    x = _row_packed(letters, min(32, span))[row, at]
+    y = _row_packed(letters, span - 32)[row, at + 32] if span > 32 else np.zeros(len(row), np.uint64)
+    return row, at, x, y
+
+
 def _windows(span: int):
     """Each window of a paragraph, its letters as two numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.column("n").to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            words = np.stack([batch.column(f"w{j}").to_numpy().view(np.uint64) for j in range(WORDS)], axis=1)
-            shifts = np.arange(62, -2, -2, dtype=np.uint64)
-            letters = ((words[:, :, None] >> shifts) & np.uint64(3)).reshape(len(n), PARAGRAPH)
-            head = _row_packed(letters, min(32, span))
-            tail = _row_packed(letters, span - 32) if span > 32 else None
-            x = head[row, at].view(np.int64)
-            y = tail[row, at + 32].view(np.int64) if span > 32 else np.zeros(len(row), np.int64)
-            took = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [*[took.column(c) for c in ("band", "n", "w0", "w1", "w2")], pa.array(at.astype(np.int32)), pa.array(x), pa.array(y), took.column("low"), took.column("high")],
-                names=["band", "n", "w0", "w1", "w2", "at", "x", "y", "low", "high"],
-            )
+            if batch.num_rows:
+                row, at, x, y = _expanded(batch, span)
+                took = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [*[took.column(c) for c in SAME], pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), took.column("low"), took.column("high")],
+                    names=[*SAME, "at", "x", "y", "low", "high"],
+                )
+
+    return run
+
+
+MASK_DDL = "band bigint, n int, w0 bigint, w1 bigint, w2 bigint, mask bigint"
+
+
+def _masks(span: int):
+    """(paragraph, mask) of the shared windows, from different paragraphs sorted by band key."""
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        band, n, low, high = (rows.column(c).to_numpy() for c in ("band", "n", "low", "high"))
+        mask = np.where(low < high, (np.int64(1) << n.astype(np.int64)) - 1, 0)
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        size = np.diff(np.append(starts, len(band)))
+        # Only where a key has several paragraphs of several records is there something to compare.
+        mixed = np.flatnonzero(np.repeat((size > 1) & (np.minimum.reduceat(low, starts) < np.maximum.reduceat(high, starts)), size))
+        if len(mixed):
+            row, at, x, y = _expanded(rows.take(pa.array(mixed)), span)
+            order = np.lexsort((y, x))
+            first = np.flatnonzero(np.append(True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])))
+            shared = np.minimum.reduceat(low[mixed][row][order], first) < np.maximum.reduceat(high[mixed][row][order], first)
+            bits = np.zeros(len(row), np.int64)
+            bits[order] = np.repeat(shared, np.diff(np.append(first, len(row))))
+            mask[mixed] |= np.bitwise_or.reduceat(bits << at, np.flatnonzero(np.append(True, row[1:] != row[:-1])))
+        keep = np.flatnonzero(mask)
+        took = rows.take(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*[took.column(c).combine_chunks() if isinstance(took.column(c), pa.ChunkedArray) else took.column(c) for c in SAME], pa.array(mask[keep])], names=[*SAME, "mask"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch]).combine_chunks()
+                band = rows.column("band").to_numpy()
+                cut = int(np.searchsorted(band, band[-1]))  # the last key may go on in the next batch
+                if cut:
+                    yield compared(rows.slice(0, cut).combine_chunks())
+                rest = rows.slice(cut)
+        if rest is not None:
+            yield compared(rest.combine_chunks())
 
     return run
 
@@ -183,17 +227,26 @@ def _paragraph_tables(records: DataFrame, record: str, seq: str, span: int, scra
     return runs, scratch.write(runs.groupBy(*SAME).agg(F.min("rec").alias("low"), F.max("rec").alias("high")), "distinct")
 
 
-def shared_paragraphs(records: DataFrame, record: str, seq: str, span: int = 60) -> DataFrame:
+#: Different paragraphs of one key that are compared in one task, and how many keys with more are told apart at most.
+KINDS, MOST_CROWDED = 20_000, 100_000
+
+
+def shared_paragraphs(records: DataFrame, record: str, seq: str, span: int = 60, kinds: int = KINDS) -> DataFrame:
     """(rec, start, mask): paragraphs with shared windows; bit i of mask is set if window start + i is shared."""
-    runs, distinct = _paragraph_tables(records, record, seq, span, Scratch(records.sparkSession, "spans"))
-    bands = distinct.groupBy("band").agg(F.count("*").alias("kinds"), F.min("low").alias("l"), F.max("high").alias("h"))
-    whole = distinct.filter("low < high").select(*SAME, F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    # One kind of paragraph under a key has nothing else to be compared with.
-    mixed = distinct.join(bands.filter("l < h and kinds > 1").select("band"), "band", "left_semi").select(*SAME, "low", "high")
-    windows = mixed.mapInArrow(_windows(span), WINDOW_DDL)
-    shared = windows.groupBy("x", "y").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("x", "y")
-    partly = windows.filter("low = high").join(shared, ["x", "y"]).groupBy(*SAME).agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
-    return runs.join(whole.unionByName(partly), SAME).select("rec", "start", "mask")
+    scratch = Scratch(records.sparkSession, "spans")
+    runs, distinct = _paragraph_tables(records, record, seq, span, scratch)
+    counts = distinct.groupBy("band").agg(F.count("*").alias("kinds"))
+    crowded = scratch.write(counts.filter(F.col("kinds") > max(kinds, distinct.count() // MOST_CROWDED)).select("band"), "crowded")
+    streamed = distinct.join(F.broadcast(crowded), "band", "left_anti").repartition("band").sortWithinPartitions("band")
+    flags = streamed.select(*SAME, "low", "high").mapInArrow(_masks(span), MASK_DDL)
+    if not crowded.isEmpty():
+        # A key with very many paragraphs is spread by window instead of being one group.
+        large = distinct.join(F.broadcast(crowded), "band", "left_semi").select(*SAME, "low", "high")
+        windows = large.mapInArrow(_windows(span), WINDOW_DDL)
+        shared = windows.groupBy("x", "y").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("x", "y")
+        partly = windows.filter("low = high").join(shared, ["x", "y"]).groupBy(*SAME).agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
+        flags = flags.unionByName(large.filter("low < high").select(*SAME, F.expr("shiftleft(1L, n) - 1").alias("mask"))).unionByName(partly)
+    return runs.join(flags, SAME).select("rec", "start", "mask")
 
 
 INTERVAL_DDL = "rec bigint, a int, b int"
@@ -217,7 +270,7 @@ def _stretches(span: int):
     return run
 
 
-def shared_spans(records: DataFrame, record: str, seq: str, *, span: int = 60) -> DataFrame:
+def shared_spans(records: DataFrame, record: str, seq: str, *, span: int = 60, kinds: int = KINDS) -> DataFrame:
     """``ref_no``, ``span_from``, ``span_to``: the longest runs of positions that each lie in a shared window.
 
     - Positions count the letters A-Z of the sequence, case ignored, from 1; everything else is dropped. A window is
@@ -225,7 +278,7 @@ def shared_spans(records: DataFrame, record: str, seq: str, *, span: int = 60) -
     - Null and empty sequences, sequences shorter than the span, and null record numbers give no rows. Rows that repeat
       a record number are the same record. Sequences of any length are taken whole. Other columns are ignored.
     """
-    found = shared_paragraphs(records, record, seq, span).select("rec", "start", "mask").mapInArrow(_stretches(span), INTERVAL_DDL)
+    found = shared_paragraphs(records, record, seq, span, kinds).select("rec", "start", "mask").mapInArrow(_stretches(span), INTERVAL_DDL)
     merged = periods_and_gaps(found, ["rec"], {"": ("a", "b")}).filter("kind = 'period'")
     return merged.select(F.col("rec").alias("ref_no"), F.col("pos_from").cast("int").alias("span_from"), F.col("pos_to").cast("int").alias("span_to"))
 

@@ -97,11 +97,11 @@ def sequence_rows():
     return rows + [(108, base[1]), (108, base[1]), (109, "ß" + base[2] + "é"), (110, "G" * 59), (111, "T" * 30_000)]
 
 
-@pytest.mark.parametrize("size", [31, 60])
-def test_spans(spark, size):
+@pytest.mark.parametrize("size,kinds", [(31, 20_000), (60, 20_000), (60, 2)])
+def test_spans(spark, size, kinds):
     rows = sequence_rows()
     df = spark.createDataFrame([(n, s, 7, "x") for n, s in rows], "number long, s string, start int, band string")
-    got = [tuple(r) for r in shared_spans(df, "number", "s", span=size).collect()]
+    got = [tuple(r) for r in shared_spans(df, "number", "s", span=size, kinds=kinds).collect()]
     assert len(got) == len(set(got))
     assert set(got) == spans_by_windows(rows, size)
 
