@@ -279,6 +279,7 @@ def shared_spans(records: DataFrame, record: str, seq: str, *, span: int = 60, k
       a record number are the same record. Sequences of any length are taken whole. Other columns are ignored.
     """
     found = shared_paragraphs(records, record, seq, span, kinds).select("rec", "start", "mask").mapInArrow(_stretches(span), INTERVAL_DDL)
+    found = Scratch(records.sparkSession, "stretches").write(found, "stretches")  # the sweep reads it several times
     merged = periods_and_gaps(found, ["rec"], {"": ("a", "b")}).filter("kind = 'period'")
     return merged.select(F.col("rec").alias("ref_no"), F.col("pos_from").cast("int").alias("span_from"), F.col("pos_to").cast("int").alias("span_to"))
 
