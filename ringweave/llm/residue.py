@@ -88,6 +88,8 @@ FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 TAG = re.compile(r"<[^<>]{0,300}>")
+NOSCRIPT = re.compile(r"(?is)<noscript\b[^<>]*>(.*?)</noscript\s*>")
+SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 JSON_MESSAGE = re.compile(r'\{\s*"(?:message|error|detail|msg|reason)"\s*:\s*"([^"]*)"')
 MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+(?:\.\d+)*")
 CODE = re.compile(r"[;={}\\`|]|\w\(|->|::|=>|\w\.\w+\(|^\s*(?:#|//|--|/\*|\*|[-+>] |\"|'|\w+: *$|\w+[_\w]*:\s)")
@@ -95,6 +97,15 @@ STARTS = re.compile(r"[\w¡¿<{(]", re.UNICODE)
 PROSE = re.compile(r"^(?:(?:err|error|fatal|warning|request|https?/?\S*)\b|<\*>).*", re.I)
 
 
+def markup_pieces(line: str) -> list[tuple[str, bool]]:
+    """The pieces of text of a line of markup, each with whether a noscript element holds it beside more than eight others."""
+    line = re.sub(r"(?is)<style.*?</style>|<script.*?</script>", "\n", line)
+    texts = lambda x: [p for p in (y.strip() for y in TAG.sub("\n", x).split("\n")) if p]
+    parts = NOSCRIPT.split(line)  # text outside and inside by turns
+    content = sum(len(texts(x)) for x in parts[::2]) > 8
+    return [(p, content and k % 2 == 1) for k, x in enumerate(parts) for p in texts(x)]
+
+
 def bare_lines(text: str) -> list[tuple[str, bool]]:
     """The lines of a text that could be messages, masked, each with whether it stands in a noscript element only."""
     lines = re.split(r"\r\n|\r|\n", text.lstrip("﻿"))
@@ -115,35 +126,67 @@ def bare_lines(text: str) -> list[tuple[str, bool]]:
         elif line[0] == "<":
             head = line[:12].lower()
             aside = head.startswith("<noscript")
-            pieces = [p for p in (x.strip() for x in TAG.sub("\n", re.sub(r"(?is)<style.*?</style>|<script.*?</script>", "\n", line)).split("\n")) if p]
-            if len(pieces) > 8:
-                continue
+            pieces = markup_pieces(line)
         if line[0] != "<":
             masked = MASK.sub("<*>", line)
             if CODE.search(line) and not PROSE.match(masked):
                 continue
-            pieces = [line]
-        for piece in pieces:
-            piece = " ".join(MASK.sub("<*>", piece.lower()).split())[:2000]
+            pieces = [(line, False)]
+        for piece, beside in pieces:
+            piece = " ".join(MASK.sub("<*>", piece.lower()).split())
             if WORD.search(piece) and len(piece) > 3:
-                out.append((piece, aside))
+                out.append((piece, aside or beside))
     return out
 
 
+LONGEST = 40  # words of a message; longer lines are looked at sentence by sentence
+RUN = 2_000  # characters over which a long line's words are counted
+
+
+def _parts(line: str) -> Iterator[str]:
+    """The sentences of a long line, those of more than LONGEST words as windows of so many that overlap by half."""
+    for sentence in SENTENCE.split(line):
+        tokens = sentence.split()
+        for at in range(0, max(1, len(tokens) - LONGEST // 2), LONGEST // 2):
+            yield " ".join(tokens[at : at + LONGEST])
+
+
+def _runs(line: str) -> Iterator[str]:
+    """All of a line in runs of whole words of about RUN characters."""
+    run, size = [], 0
+    for token in line.split():
+        if run and size + len(token) > RUN:
+            yield " ".join(run)
+            run, size = [], 0
+        run.append(token)
+        size += len(token) + 1
+    yield " ".join(run)
+
+
 def verdict(template: str) -> str | None:
     """What a template says in place of content; wildcards stand for words that differ."""
-    words = [w for w in template.split() if w != "<*>"]
-    if not words or template in ("gone", "oops", "conflict"):  # a word by itself says nothing
+    if sum(w != "<*>" for w in template.split()) <= LONGEST:
+        return _phrase(template) or _counted(template)
+    found = next(filter(None, map(_phrase, _parts(template))), None)
+    return found or next(filter(None, map(_counted, (*_parts(template), *_runs(template)))), None)
+
+
+def _phrase(template: str) -> str | None:
+    if template in ("gone", "oops", "conflict") or not template.replace("<*>", "").strip():  # a word by itself says nothing
         return None
-    if len(words) <= 40:
-        if NOTICE.fullmatch(template) and not BESIDE.search(template):
-            return "notice"
-        if ERROR.fullmatch(template):
-            return "error"
-        if FILLER.fullmatch(template):
-            return "filler"
+    if NOTICE.fullmatch(template) and not BESIDE.search(template):
+        return "notice"
+    if ERROR.fullmatch(template):
+        return "error"
+    return "filler" if FILLER.fullmatch(template) else None
+
+
+def _counted(template: str) -> str | None:
     # A wildcard is a word that differs from all others.
+    words = [w for w in template.split() if w != "<*>"]
     plain, count = [w.strip(".,;:!?") for w in words], len(template.split())
+    if not words:
+        return None
     if count >= 5 and sum(w in _LATIN for w in plain) >= 0.8 * count and sum(w in _LATIN_ONLY for w in plain) >= 3:
         return "filler"
     if count >= 4 and sum(w in _KEYS for w in plain) >= 0.8 * count:
@@ -267,7 +310,7 @@ def has_open_slot(text: str, path: str | None) -> bool:
             if pattern is MARKS and dollar_code and not comment and re.search(r"[\w'\"-]$", before) and m.group(0).startswith("{{"):
                 continue  # doubled braces inside a format string
             return True
-    return any(YOUR_NAME.search(line) for line in text[:400].split("\n"))
+    return "your name" in low and any(YOUR_NAME.search(line) for line in text.split("\n"))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

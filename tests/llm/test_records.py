@@ -173,3 +173,17 @@ def test_templates_agree_with_lines(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "d long, t string")
     got = {r.doc_id for r in residue_verdicts(df, "d", "t").collect()}
     assert got == {i for i, t in enumerate(lines) if any(verdict(x) for x, _ in bare_lines(t)) or has_open_slot(t, None)}
+
+
+def test_residue_reads_whole_texts(spark):
+    menu = "".join(f"<li><a href='/{i}'>Part {w}</a></li>" for i, w in enumerate("one two three four five six seven eight nine ten".split()))
+    words = " ".join(f"stone{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+    prose = "The walls of the old town were built by many hands over the years. " * 3
+    latin = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor."
+    found = [
+        (f"{words}. {latin}", "filler"), (f"{prose}The requested page could not be found. {words}", "error"), (f"<html><title>404 Not Found</title><ul>{menu}</ul></html>", "error"),
+        ("# Tool\n" + "A line of the manual\n" * 60 + "Copyright (c) Your Name\n", "slot"),
+    ]
+    clean = [f"{words}. {words}", f"<html><ul>{menu}</ul><noscript>Please enable JavaScript.</noscript></html>", f"{prose}{words}"]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(found)] + [(100 + i, t) for i, t in enumerate(clean)], "d long, t string")
+    assert {(r.doc_id, r.verdict) for r in residue_verdicts(df, "d", "t").collect()} == {(i, v) for i, (_, v) in enumerate(found)}
