@@ -2,8 +2,8 @@
 
 Messages are mined with a fixed-depth prefix tree, as log lines are: a document's bare lines (lines of prose that are
 no comment, string or code, with markup and JSON wrapping taken off and numbers masked) descend by number of tokens and
-first two tokens to a leaf, where similar lines merge into a template with wildcards. Each template is classified once,
-by the lexicons below, and its verdict goes back to all documents with a line of it. Placeholders are found separately,
+first two tokens to a leaf, where similar lines merge into a template with wildcards for words that the lexicons below do
+not speak of. Each template is classified once, by those lexicons, and its verdict goes back to all documents with a line of it. Placeholders are found separately,
 inside ordinary lines: a slot is a mark around the name of a value (title, author, ...) where that value belongs.
 
 Lines are merged with map-side combining before the tree sees them, so a page that a third of all records consist of is
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,12 +164,25 @@ def _runs(line: str) -> Iterator[str]:
     yield " ".join(run)
 
 
-def verdict(template: str) -> str | None:
-    """What a template says in place of content; wildcards stand for words that differ."""
-    if sum(w != "<*>" for w in template.split()) <= LONGEST:
-        return _phrase(template) or _counted(template)
-    found = next(filter(None, map(_phrase, _parts(template))), None)
-    return found or next(filter(None, map(_counted, (*_parts(template), *_runs(template)))), None)
+def verdict(template: str, repeated: bool | None = None) -> str | None:
+    """What a template says in place of content; wildcards stand for words that differ.
+
+    repeated: what ``repeats`` says of its lines, if words of them are hidden.
+    """
+    parts = [template]
+    if sum(w != "<*>" for w in template.split()) > LONGEST:
+        parts = list(_parts(template))
+    found = next(filter(None, map(_phrase, parts)), None)
+    if found:
+        return found
+    again = repeats(template) if repeated is None else repeated
+    return "filler" if again or any(map(_filler_words, parts if len(parts) == 1 else (*parts, *_runs(template)))) else None
+
+
+def repeats(line: str) -> bool:
+    """Whether a line, or a part of a long one, says few words again and again."""
+    whole = sum(w != "<*>" for w in line.split()) <= LONGEST
+    return any(map(_same_words, [line] if whole else (*_parts(line), *_runs(line))))
 
 
 def _phrase(template: str) -> str | None:
@@ -181,41 +195,81 @@ def _phrase(template: str) -> str | None:
     return "filler" if FILLER.fullmatch(template) else None
 
 
-def _counted(template: str) -> str | None:
+def _plain(text: str) -> tuple[list[str], int]:
+    """The words of a text without punctuation, and the number of its tokens, wildcards too."""
+    tokens = text.split()
+    return [w.strip(".,;:!?") for w in tokens if w != "<*>"], len(tokens)
+
+
+def _filler_words(text: str) -> bool:
+    plain, count = _plain(text)
+    latin = count >= 5 and sum(w in _LATIN for w in plain) >= 0.8 * count and sum(w in _LATIN_ONLY for w in plain) >= 3
+    return latin or (count >= 4 and sum(w in _KEYS for w in plain) >= 0.8 * count)
+
+
+def _same_words(text: str) -> bool:
     # A wildcard is a word that differs from all others.
-    words = [w for w in template.split() if w != "<*>"]
-    plain, count = [w.strip(".,;:!?") for w in words], len(template.split())
-    if not words:
-        return None
-    if count >= 5 and sum(w in _LATIN for w in plain) >= 0.8 * count and sum(w in _LATIN_ONLY for w in plain) >= 3:
-        return "filler"
-    if count >= 4 and sum(w in _KEYS for w in plain) >= 0.8 * count:
-        return "filler"
-    if count >= 9 and len(set(plain)) + count - len(plain) <= count // 3:
-        return "filler"
-    return None
+    plain, count = _plain(text)
+    return bool(plain) and count >= 9 and len(set(plain)) + count - len(plain) <= count // 3
 
 
 _LATIN, _KEYS = set(LATIN), set(KEYS)
 _LATIN_ONLY = _LATIN - set("do in id non ex ad sit et ut ea".split())
 
 
+def _fragments() -> tuple[re.Pattern, frozenset[str]]:
+    """The letters that the lexicons speak of: those of three and more as a pattern, and all words."""
+    source = " ".join([*ERRORS, *NOTICES, *FILLERS, BESIDE.pattern, *LATIN, *KEYS])
+    words = set(re.findall(r"[a-z]+", re.sub(r"\\\w", " ", source)))
+    long = sorted((w for w in words if len(w) > 2), key=len)
+    return re.compile("|".join(long)), frozenset(words)
+
+
+_SPOKEN, _SPOKEN_WORDS = _fragments()
+RUN_OF_LETTERS = re.compile(r"\w+")
+ANY_WORD = "ª"  # a letter of no lexicon: patterns take it for a word, as they do the words it stands for
+
+
+def _free(word: str) -> bool:
+    """Whether no verdict can rest on what a word is; short words and those with other letters may be parts of phrases."""
+    return len(word) > 4 and word.isascii() and word not in _SPOKEN_WORDS and not _SPOKEN.search(word)
+
+
+@lru_cache(200_000)
+def _shape(token: str) -> str:
+    """A token with wildcards for its free words."""
+    return RUN_OF_LETTERS.sub(lambda m: ANY_WORD if _free(m[0]) else m[0], token)
+
+
 class PrefixTree:
-    """Lines of one leaf (same number of tokens, same first tokens), merged into templates where most tokens agree."""
+    """Lines of one leaf (same number of tokens, same first tokens), merged into templates where most tokens agree.
+
+    Only words on which no verdict rests give way to a wildcard, and lines that say the same few words again and again
+    are not merged with others, so a template's verdict is that of each of its lines, whichever lines it meets.
+    """
 
     def __init__(self, similar: float = 0.6):
-        self.similar, self.templates = similar, []
+        self.similar, self.templates, self.repeated, self.alike = similar, [], [], {}
 
     def add(self, line: str) -> int:
         tokens = line.split()
-        for i, known in enumerate(self.templates):
+        shape = tuple(map(_shape, tokens))
+        repeated = repeats(line)
+        numbers = self.alike.setdefault((shape, repeated), [])
+        for i in numbers:
+            known = self.templates[i]
             same = sum(a == b for a, b in zip(known, tokens))
             if same >= self.similar * len(tokens):
-                self.templates[i] = [a if a == b else "<*>" for a, b in zip(known, tokens)]
+                self.templates[i] = [a if a == b else c for a, b, c in zip(known, tokens, shape)]
                 return i
+        numbers.append(len(self.templates))
         self.templates.append(tokens)
+        self.repeated.append(repeated)
         return len(self.templates) - 1
 
+    def verdicts(self) -> list[str | None]:
+        return [verdict(" ".join(t), r) for t, r in zip(self.templates, self.repeated)]
+
 
 LEAF_LINES = 2_000  # different lines of one leaf that are merged together
 DEPTH = 2  # tokens of the fixed-depth path below the number of tokens
@@ -239,9 +293,8 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, tree, lines = None, PrefixTree(), []
 
     def classified() -> pa.RecordBatch:
-        said = [verdict(" ".join(t)) for t in tree.templates]
-        # A template that lost the words a verdict rests on leaves its lines to be judged by themselves.
-        found = [(line, said[i] or verdict(line)) for line, i in lines]
+        said = tree.verdicts()
+        found = [(line, said[i]) for line, i in lines]
         found = [x for x in found if x[1]]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["line", "verdict"])
 

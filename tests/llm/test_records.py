@@ -7,7 +7,7 @@ import pytest
 from ringweave.llm.copies import Trie, collapsed, copy_members
 from ringweave.llm.leaks import leaked_items
 from ringweave.llm.packing import pack, token_counts
-from ringweave.llm.residue import bare_lines, has_open_slot, residue_documents, residue_verdicts, verdict
+from ringweave.llm.residue import PrefixTree, bare_lines, has_open_slot, residue_documents, residue_verdicts, verdict
 from ringweave.llm.topn import top_items
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -187,3 +187,26 @@ def test_residue_reads_whole_texts(spark):
     clean = [f"{words}. {words}", f"<html><ul>{menu}</ul><noscript>Please enable JavaScript.</noscript></html>", f"{prose}{words}"]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(found)] + [(100 + i, t) for i, t in enumerate(clean)], "d long, t string")
     assert {(r.doc_id, r.verdict) for r in residue_verdicts(df, "d", "t").collect()} == {(i, v) for i, (_, v) in enumerate(found)}
+
+
+def merged(lines):
+    """Each line's verdict, by its template alone."""
+    trees = defaultdict(PrefixTree)
+    placed = [(line, (len(line.split()), *line.split()[:2])) for line in lines]
+    at = [(line, leaf, trees[leaf].add(line)) for line, leaf in placed]
+    said = {leaf: tree.verdicts() for leaf, tree in trees.items()}
+    return {line: said[leaf][i] for line, leaf, i in at}, sum(len(t.templates) for t in trees.values())
+
+
+def test_templates_carry_the_verdicts_of_their_lines():
+    rng = random.Random(8)
+    spoken = "the this page file 404 <*> not found, is what returns please enable javascript: error: too many requests lorem ipsum dolor sit amet text goes here. without it some charts need oops! replace timed out".split()
+    free = [f"{a}{b}{c}" for a in ("brick", "gravel", "lumber") for b in ("walls", "yards", "halls") for c in ("", ",", ".", "xyz")]
+    lines = sorted({" ".join(rng.choice(free if rng.random() < 0.4 else spoken) for _ in range(rng.choice([3, 4, 6, 9, 12, 50, 90]))) for _ in range(4000)})
+    lines += ["<*> not found is what it returns", "<*> not found in what it returns", "<*> not found at brickwalls now", "<*> not found at lumberyard now"]
+    lines += [f"the page {w} could not be found" for w in free] + [f"to see {w} please turn on scripts" for w in free]
+    lines += ["lorem ipsum dolor sit amet brickwalls", "text goes here. " * 3 + "brickyards", "brickwalls " * 11 + "gravel", "brickwalls " * 4 + "gravelyards lumberhalls " * 4]
+    lines = [" ".join(x.split()) for x in lines]
+    got, count = merged(lines)
+    assert got == {line: verdict(line) for line in lines}
+    assert count < len(lines) - 2 * (len(free) - 4) and {"error", "notice", "filler", None} == set(got.values())
