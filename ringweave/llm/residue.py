@@ -7,7 +7,7 @@ not speak of. Each template is classified once, by those lexicons, and its verdi
 inside ordinary lines: a slot is a mark around the name of a value (title, author, ...) where that value belongs.
 
 Lines are merged with map-side combining before the tree sees them, so a page that a third of all records consist of is
-one line of one leaf; a leaf with very many different lines is split by a hash, which may leave a template twice, each
+one line of one leaf; a leaf with very many different lines is split by further tokens, which may leave a template twice, each
 with the same verdict, as verdicts rest on the words that all lines of a template share.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -372,6 +372,21 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(["slot"] * len(found), pa.string())], names=["doc", "verdict"])
 
 
+def _leaves(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """(leaf, line): number of tokens and first tokens, twice as many in each round while a leaf is crowded."""
+    tokens, depth, done = F.split("line", " "), DEPTH, []
+    leaf = lambda n: F.concat_ws("\t", F.size(tokens).cast("string"), F.slice(tokens, 1, n))
+    left = scratch.write(distinct.select(leaf(depth).alias("leaf"), "line"), f"leaves{depth}")
+    while True:
+        crowded = scratch.write(left.groupBy("leaf").count().filter(F.col("count") > LEAF_LINES).select("leaf"), f"crowded{depth}")
+        if crowded.isEmpty():
+            break
+        done.append(left.join(crowded, "leaf", "left_anti"))
+        depth *= 2
+        left = scratch.write(left.join(crowded, "leaf", "left_semi").select(leaf(depth).alias("leaf"), "line"), f"leaves{depth}")
+    return reduce(DataFrame.unionByName, done, left)
+
+
 def residue_verdicts(documents: DataFrame, doc: str, text: str, path: str | None = None) -> DataFrame:
     """(doc_id, verdict): 'error', 'notice', 'filler' or 'slot', one row for each that a document has.
 
@@ -383,11 +398,7 @@ def residue_verdicts(documents: DataFrame, doc: str, text: str, path: str | None
     rows = documents.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"), name.alias("path")).filter("doc is not null and length(text) > 0")
     lines = scratch.write(rows.select("doc", "text").mapInArrow(_lines, "doc bigint, line string, aside boolean"), "lines")
     distinct = lines.groupBy("line").agg(F.lit(1).alias("one")).select("line")
-    tokens = F.split("line", " ")
-    leaf = F.concat_ws("\t", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
-    distinct = distinct.withColumn("leaf", leaf)
-    crowded = scratch.write(distinct.groupBy("leaf").count().filter(F.col("count") > LEAF_LINES).select("leaf", F.ceil(F.col("count") / LEAF_LINES).alias("parts")), "crowded")
-    split = distinct.join(crowded, "leaf", "left").select(F.concat_ws("\t", "leaf", F.pmod(F.xxhash64("line"), F.coalesce("parts", F.lit(1)))).alias("leaf"), "line")
+    split = _leaves(distinct, scratch)
     said = scratch.write(split.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_templates, "line string, verdict string"), "said")
     messages = lines.join(said, "line").filter("not (aside and verdict = 'notice')").select("doc", "verdict")
     return messages.unionByName(rows.mapInArrow(_slots, "doc bigint, verdict string")).distinct().select(F.col("doc").alias("doc_id"), "verdict")

@@ -7,6 +7,7 @@ import pytest
 from ringweave.llm.copies import Trie, collapsed, copy_members
 from ringweave.llm.leaks import leaked_items
 from ringweave.llm.packing import pack, token_counts
+from ringweave.llm import residue
 from ringweave.llm.residue import PrefixTree, bare_lines, has_open_slot, residue_documents, residue_verdicts, verdict
 from ringweave.llm.topn import top_items
 
@@ -210,3 +211,14 @@ def test_templates_carry_the_verdicts_of_their_lines():
     got, count = merged(lines)
     assert got == {line: verdict(line) for line in lines}
     assert count < len(lines) - 2 * (len(free) - 4) and {"error", "notice", "filler", None} == set(got.values())
+
+
+def test_crowded_leaves_change_no_verdict(spark, monkeypatch):
+    free = [f"{a}{b}" for a in ("brick", "gravel", "lumber") for b in ("walls", "yards", "halls")]
+    lines = ["12 not found is what it returns", "7 not found in what it returns", "not found"] + [f"the page {w} of {v} could not be found" for w in free for v in free]
+    lines += [f"the {w} of {v} was built in spring" for w in free for v in free]
+    df = spark.createDataFrame(list(enumerate(lines)), "d long, t string")
+    expected = {i for i, t in enumerate(lines) if any(verdict(x) for x, _ in bare_lines(t))}
+    for size in (1000, 5, 1):
+        monkeypatch.setattr(residue, "LEAF_LINES", size)
+        assert {r.doc_id for r in residue_verdicts(df, "d", "t").collect()} == expected
