@@ -13,6 +13,7 @@ with the same verdict, as verdicts rest on the words that all lines of a templat
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -91,6 +92,10 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 TAG = re.compile(r"<[^<>]{0,300}>")
 NOSCRIPT = re.compile(r"(?is)<noscript\b[^<>]*>(.*?)</noscript\s*>")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+# Keys of what error bodies say, and how many values such a body has at most; tables of texts have more.
+JSON_KEYS = "message error errors detail details msg reason error_description error_message errormessage".split()
+JSON_VALUES = 20
+JSON_SAYS = re.compile(rf'(?i)"(?:{"|".join(JSON_KEYS)})"\s*:')
 JSON_MESSAGE = re.compile(r'\{\s*"(?:message|error|detail|msg|reason)"\s*:\s*"([^"]*)"')
 MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+(?:\.\d+)*")
 CODE = re.compile(r"[;={}\\`|]|\w\(|->|::|=>|\w\.\w+\(|^\s*(?:#|//|--|/\*|\*|[-+>] |\"|'|\w+: *$|\w+[_\w]*:\s)")
@@ -110,7 +115,8 @@ def markup_pieces(line: str) -> list[tuple[str, bool]]:
 def bare_lines(text: str) -> list[tuple[str, bool]]:
     """The lines of a text that could be messages, masked, each with whether it stands in a noscript element only."""
     lines = re.split(r"\r\n|\r|\n", text.lstrip("﻿"))
-    out, fenced = [], False
+    said = json_messages(text) if len(lines) > 1 else []
+    out, fenced = [(x, False) for x in map(masked_piece, said) if x], False
     for line in lines:
         line = line.strip("﻿ \t")
         if line.startswith(("```", "~~~")):
@@ -121,25 +127,49 @@ def bare_lines(text: str) -> list[tuple[str, bool]]:
         aside = False
         if line[0] == "{":
             found = JSON_MESSAGE.match(line)
-            if not found or not line.endswith("}"):
-                continue
-            line = found.group(1)
+            pieces = [(m, False) for m in dict.fromkeys([*json_messages(line), *([found.group(1)] if found and line.endswith("}") else [])])]
         elif line[0] == "<":
             head = line[:12].lower()
             aside = head.startswith("<noscript")
             pieces = markup_pieces(line)
-        if line[0] != "<":
+        else:
             masked = MASK.sub("<*>", line)
             if CODE.search(line) and not PROSE.match(masked):
                 continue
             pieces = [(line, False)]
         for piece, beside in pieces:
-            piece = " ".join(MASK.sub("<*>", piece.lower()).split())
-            if WORD.search(piece) and len(piece) > 3:
+            if piece := masked_piece(piece):
                 out.append((piece, aside or beside))
     return out
 
 
+def masked_piece(piece: str) -> str | None:
+    piece = " ".join(MASK.sub("<*>", piece.lower()).split())
+    return piece if WORD.search(piece) and len(piece) > 3 else None
+
+
+def json_messages(text: str) -> list[str]:
+    """What a text says that is one small JSON object: the values of JSON_KEYS, wherever they stand."""
+    text = text.strip("﻿ \t\r\n")
+    if not (text.startswith("{") and text.endswith("}") and JSON_SAYS.search(text)):
+        return []
+    try:
+        rest = [(False, json.loads(text))]
+    except (ValueError, RecursionError):
+        return []
+    out, values = [], 0
+    while rest:
+        says, x = rest.pop()
+        if isinstance(x, dict):
+            rest += [(k.lower() in JSON_KEYS, v) for k, v in x.items()]
+        elif isinstance(x, list):
+            rest += [(says, v) for v in x]
+        else:
+            values += 1
+            out += [x] if says and isinstance(x, str) else []
+    return out if values <= JSON_VALUES else []
+
+
 LONGEST = 40  # words of a message; longer lines are looked at sentence by sentence
 RUN = 2_000  # characters over which a long line's words are counted
 

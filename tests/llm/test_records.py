@@ -1,3 +1,4 @@
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -222,3 +223,14 @@ def test_crowded_leaves_change_no_verdict(spark, monkeypatch):
     for size in (1000, 5, 1):
         monkeypatch.setattr(residue, "LEAF_LINES", size)
         assert {r.doc_id for r in residue_verdicts(df, "d", "t").collect()} == expected
+
+
+def test_json_bodies_say_errors_at_any_key_and_line(spark):
+    found = [
+        '{"status":404,"error":"Not Found","path":"/x"}', '{"code":503,"message":"Service unavailable"}', '{\n  "code": 404,\n  "message": "Not Found"\n}\n',
+        '\ufeff{\r\n  "errors": [\r\n    {"status": "404", "detail": "Not Found"}\r\n  ]\r\n}', '{"ok": false, "error": {"code": 404, "message": "The requested file could not be found."}}',
+    ]
+    table = {f"key{i}": "Page not found" for i in range(30)} | {"error": "Page not found"}
+    clean = ['{"a": "Page not found", "b": "Not Found"}', json.dumps(table), json.dumps(table, indent=2), '{"error": "Not Found"', '{"message": "All is well", "code": 200}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(found)] + [(100 + i, t) for i, t in enumerate(clean)], "d long, t string")
+    assert {(r.doc_id, r.verdict) for r in residue_verdicts(df, "d", "t").collect()} == {(i, "error") for i in range(len(found))}
