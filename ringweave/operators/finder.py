@@ -25,12 +25,12 @@ from ringweave.session import Scratch
 
 @dataclass(frozen=True)
 class Growth:
-    """Limits, weights and ways of growth."""
+    """Limits, weights and ways of growth; the limits are the published ones."""
 
-    max_score: float = 0.5
+    max_score: float = float("inf")
     max_length: int = 1_750_000
     max_gc_diff: float = 0.15
-    max_gap_nt: int = 0
+    max_gap_nt: int = 2000
     max_gap_segments: int = 2
     by_segment: bool = False  # each segment once, with its whole depth; a step may close the ring
     roulette: int | None = None  # seed of a draw by depth among the allowed steps; one step, as published

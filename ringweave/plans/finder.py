@@ -11,7 +11,7 @@ from ringweave.plans.tables import table
 from ringweave.session import Scratch
 from ringweave.sources import gfa, sequences, tables
 
-RULES = P.Growth(max_score=1.6, max_length=20_000, max_gc_diff=0.3, max_gap_nt=400, max_gap_segments=3)
+RULES = P.Growth()
 
 
 def densities(spark, folder):
@@ -33,7 +33,7 @@ def plasmid_members(spark, folder):
 def plasmid_classes(spark, folder):
     grown = members(spark, folder)
     found = P.facts(grown, *graph(spark, folder), densities(spark, folder))
-    return P.classified(found, grown, min_density=0.1, min_depth=0.2, min_length=100, max_length=20_000).drop("seq")
+    return P.classified(found, grown, min_density=0.1, min_depth=0.2, min_length=100, max_length=RULES.max_length).drop("seq")
 
 
 @query("plasmid_chains")

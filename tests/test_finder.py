@@ -114,3 +114,15 @@ def test_coverage_along_a_ring(spark):
     seq = {r.seg_name: r.seq for r in segments.collect()}
     flipped = seq["b"][::-1].translate(str.maketrans("ACGT", "TGCA"))
     assert fact.seq == (seq["a"] + flipped[4:] + seq["c"])[:-6] and fact.length == size
+
+
+def test_chains_cross_segments_without_genes_by_default(spark):
+    from ringweave.plans.finder import RULES
+
+    segments = spark.createDataFrame([(1, n, "ACGT" * k, 4 * k, None, d) for n, k, d in (("a", 100, 2.0), ("b", 200, 2.6), ("c", 100, 2.0))], SEG)
+    links = spark.createDataFrame([(1, "a", "+", "b", "+", "0M"), (1, "b", "+", "c", "+", "0M")], LINK)
+    dens = spark.createDataFrame([(1, "a", 0.9, True), (1, "c", 0.2, True)], DENS)
+    for rules in (P.Growth(), RULES):
+        line = P.chain_lines(P.grow(segments, links, dens, rules, min_density=0.8)).first().value
+        assert line == "plasmid_0;a+,b+,c+"
+    assert (RULES.max_score, RULES.max_gap_nt, RULES.max_gap_segments, RULES.max_length, RULES.max_gc_diff) == (float("inf"), 2000, 2, 1_750_000, 0.15)
