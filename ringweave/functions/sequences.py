@@ -61,11 +61,12 @@ def flip(start: Column, end: Column, length: Column, strand: Column) -> list[Col
 
 
 def wrapped(start: Column, end: Column, length: Column) -> Column:
-    """Array of the pieces of a 0-based interval on a ring of the given length."""
+    """Array of the pieces of a 0-based interval on a ring of the given length, the whole ring if it is as long as that."""
     piece = lambda a, b: F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end"))
     return (
         F.when(end < length, F.array(piece(start, end)))
-        .when(start < length, F.array(piece(start, length - 1), piece(F.lit(0), end % length)))
+        .when(end - start + 1 >= length, F.array(piece(F.lit(0), length - 1)))
+        .when(start % length > end % length, F.array(piece(start % length, length - 1), piece(F.lit(0), end % length)))
         .otherwise(F.array(piece(start % length, end % length)))
     )
 

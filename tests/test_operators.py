@@ -130,3 +130,12 @@ def test_translocations(spark):
     )
     got = {r.contig: (r.partner, r.matched, r.translocated, r.unaligned) for r in E.translocations(hits, lengths).collect()}
     assert got == {"a": ("b", 0.4, 0.2, 0.4), "b": ("a", 0.2, 0.2, 0.6), "z": (None, 0.0, 0.0, 1.0)}
+
+
+def test_pieces_behind_the_first_lap(spark):
+    rows = [(2, 5), (9, 10), (8, 12), (13, 15), (18, 22), (38, 41), (3, 12), (5, 30), (12, 21), (25, 60)]
+    got = spark.createDataFrame(rows, "a int, b int").select("a", "b", F.inline(S.wrapped(F.col("a"), F.col("b"), F.lit(10)))).collect()
+    for a, b in rows:
+        pieces = [(r.start, r.end) for r in got if (r.a, r.b) == (a, b)]
+        assert all(0 <= x <= y < 10 for x, y in pieces)
+        assert {p for x, y in pieces for p in range(x, y + 1)} == {p % 10 for p in range(a, b + 1)}
