@@ -1,14 +1,16 @@
 """Problem 8: records that hold template residue, filler, error pages or demands for scripts instead of content.
 
-Messages are mined with a fixed-depth prefix tree, as log lines are: a document's bare lines (lines of prose that are
-no comment, string or code, with markup and JSON wrapping taken off and numbers masked) descend by number of tokens and
-first two tokens to a leaf, where similar lines merge into a template with wildcards for words that the lexicons below do
-not speak of. Each template is classified once, by those lexicons, and its verdict goes back to all documents with a line of it. Placeholders are found separately,
-inside ordinary lines: a slot is a mark around the name of a value (title, author, ...) where that value belongs.
-
-Lines are merged with map-side combining before the tree sees them, so a page that a third of all records consist of is
-one line of one leaf; a leaf with very many different lines is split by further tokens, which may leave a template twice, each
-with the same verdict, as verdicts rest on the words that all lines of a template share.
+Messages are mined with a fixed-depth prefix tree, as log lines are. A document's bare lines (lines of prose that are no
+comment, string or code, with markup and JSON wrapping taken off and numbers masked) go down by number of tokens and
+first two tokens to a leaf, where lines with the same skeleton are one template: a skeleton has wildcards for the words
+that the lexicons below do not speak of. The levels of the tree are columns, so that it is mined by one aggregate with
+map-side combining: a page that a third of all records consist of is one row from each task, no leaf is held anywhere,
+and a template is the same whatever else the corpus has. A template knows in how many documents it occurs and how many
+of these are source files that consist of it alone. Each template is classified once: by the lexicons, or as a message in place of
+content if most of its documents have nothing else. Its verdict goes back to all documents with a line of it.
+
+Placeholders are found separately, inside ordinary lines: a slot is a mark around the name of a usual value (title, author,
+...), or around any name where the value of a field or a word of a sentence should stand.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +43,8 @@ STATUS = (
     "moved permanently|temporarily unavailable"
 )
 THING = "page|file|document|resource|object|blob|item|address|url|path|revision|commit|link|site|mirror|server|service|store|repository|content"
+# What a sentence goes on with that explains an error instead of being one.
+EXPLAINED = r"(?!.*\b(?:when|whenever|means|if|unless|until)\b)"
 ERRORS = [
     rf"(?:http/?\S* )?(?:err(?:or)?:? )?(?:<\*>:? )?\(?(?:{STATUS})\)?(?: <\*>)?[.!]?",
     rf"(?:http/?\S* |err(?:or)?:? |status:? |code:? )*<\*>[:,]? \(?(?:{STATUS})\b\)?(?!.*\b(?:is|are|when|means|if|for)\b)(?: ?\S+){{0,8}}",
@@ -53,6 +57,10 @@ ERRORS = [
     r".*\b(?:over the limit|rate limit|limit of requests|too many requests)\b.*",
     r".*\byou have to (?:sign|log) in\b.*|.*\b(?:sign|log) in (?:first|to continue)\b.*|.*\bcontact the people who run\b.*",
     rf".*\bthis (?:{THING}) is not here\b.*|.*\bsomething (?:broke|went wrong)\b.*",
+    rf"(?:sorry[,.] )?(?:an?|some|the) (?:[^\W\d]+ ){{0,3}}(?:error|exception|failure|fault|problem) (?:has |have |had )?(?:occurred|happened|arisen|(?:was|been) (?:thrown|raised|encountered))\b{EXPLAINED}.*",
+    rf"(?:access|permission|entry)\b.*\b(?:denied|restricted|refused|forbidden|blocked|revoked|prohibited|(?:not|n't) (?:been )?(?:allowed|permitted|granted))\b{EXPLAINED}.*",
+    rf"(?:sorry[,.] )?you (?:do not|don't|are not|aren't) (?:currently )?(?:have|allowed|authori[sz]ed|permitted)\b.*\b(?:access|permission|rights?|view|see|open)\b{EXPLAINED}.*",
+    rf"(?:sorry[,.] )?your (?:request|connection|session|address|ip)\b.*\b(?:blocked|expired|rejected|refused|denied|timed? ?out|(?:could|can) ?not be (?:processed|completed|handled|served|verified))\b{EXPLAINED}.*",
     r".*\bobjects? missing\b|fatal: .*|.*\bconnection (?:reset|refused|closed)\b.*",
     r".*\b(?:no se encontró|página no encontrada|no se pudo encontrar|no existe)\b.*|.*\b(?:page introuvable|fichier (?:demandé|introuvable)|n'existe pas|erreur interne)\b.*",
     r".*\b(?:seite|datei) .*(?:nicht gefunden|existiert nicht|nicht vorhanden)\b.*|.*(?:не найден|не существует|недоступ|見つかりません|存在しません|未找到|找不到|不存在|찾을 수 없).*|seite nicht gefunden.*|.*\b(?:pagina non trovata|página não encontrada|pagina niet gevonden)\b.*",
@@ -64,6 +72,9 @@ NOTICES = [
     r".*\b(?:does not|do not|doesn't|cannot|can't) (?:run|support|execute) (?:java ?script|scripts?)\b.*",
     r".*\b(?:activez|activer|activé|active|habilite|habilitar|einschalten|aktivieren|aktiviert|abilita|attiva|ative|inschakelen)\b.*\bjavascript\b.*|.*\bjavascript\b.*\b(?:activez|activer|activé|active|habilite|einschalten|aktivieren|aktiviert|abilita|attiva|ative|inschakelen|activado|necesario|nécessaire|erforderlich)\b.*",
     rf".*\b(?:must|has to|have to|should) (?:support|run|allow|accept)\b.*\b{SCRIPTS}\b.*|.*javascript.*(?:включ|有効|启用|啟用|활성).*|.*(?:включ|有効|启用|啟用|활성).*javascript.*",
+    r"(?:please )?(?:wait|hold on|stand by|one moment|just a moment|hang on)\b.*\b(?:verif|check|confirm|validat|test|prov)\w*\b.*\b(?:browser|human|robot|bot|visitor|connection|request)\b.*",
+    r"(?:please )?(?:we are |we're |we need to )?(?:verif|check|confirm|validat|test|prov)\w*\b.*\b(?:your browser|you are (?:a )?(?:real )?(?:human|person)|(?:not|aren't) a (?:ro)?bot|your connection is secure)\b.*",
+    r"(?:please )?(?:complete|solve|pass|finish) (?:the|this) (?:\w+ )?(?:check|challenge|puzzle|test)\b.*\b(?:continue|proceed|go on|see|view|open)\b.*",
     r".*\byou are (?:a )?(?:human|not a robot)\b.*|.*\b(?:captcha|browser is being (?:looked at|checked)|checking your browser)\b.*",
 ]
 # What is said beside content that is there: the notice is no demand.
@@ -89,7 +100,7 @@ NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES))
 FILLER = re.compile("|".join(f"(?:{p})" for p in FILLERS))
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-TAG = re.compile(r"<[^<>]{0,300}>")
+TAG = re.compile(r"<[^<>]*>")
 NOSCRIPT = re.compile(r"(?is)<noscript\b[^<>]*>(.*?)</noscript\s*>")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 # Keys of what error bodies say, and how many values such a body has at most; tables of texts have more.
@@ -112,14 +123,20 @@ def markup_pieces(line: str) -> list[tuple[str, bool]]:
     return [(p, content and k % 2 == 1) for k, x in enumerate(parts) for p in texts(x)]
 
 
+def _fences(lines: list[str]) -> set[int]:
+    """Numbers of the lines that open or close quoted code; a last fence that nothing closes is none."""
+    at = [i for i, line in enumerate(lines) if line.startswith(("```", "~~~"))]
+    return set(at[: len(at) // 2 * 2])
+
+
 def bare_lines(text: str) -> list[tuple[str, bool]]:
     """The lines of a text that could be messages, masked, each with whether it stands in a noscript element only."""
-    lines = re.split(r"\r\n|\r|\n", text.lstrip("﻿"))
+    lines = [line.strip("\ufeff \t") for line in re.split(r"\r\n|\r|\n", text)]
     said = json_messages(text) if len(lines) > 1 else []
+    fences = _fences(lines)
     out, fenced = [(x, False) for x in map(masked_piece, said) if x], False
-    for line in lines:
-        line = line.strip("﻿ \t")
-        if line.startswith(("```", "~~~")):
+    for i, line in enumerate(lines):
+        if i in fences:
             fenced = not fenced
             continue
         if not line or fenced or not STARTS.match(line):
@@ -162,6 +179,8 @@ def json_messages(text: str) -> list[str]:
         says, x = rest.pop()
         if isinstance(x, dict):
             rest += [(k.lower() in JSON_KEYS, v) for k, v in x.items()]
+            status = next((v for v in x.values() if str(v).isdigit() and 400 <= int(v) < 600), None)
+            out += [f"{status} {v}" for k, v in x.items() if status and k.lower() in JSON_KEYS and isinstance(v, str)]
         elif isinstance(x, list):
             rest += [(says, v) for v in x]
         else:
@@ -271,72 +290,60 @@ def _shape(token: str) -> str:
     return RUN_OF_LETTERS.sub(lambda m: ANY_WORD if _free(m[0]) else m[0], token)
 
 
-class PrefixTree:
-    """Lines of one leaf (same number of tokens, same first tokens), merged into templates where most tokens agree.
+DEPTH = 2  # tokens of the fixed-depth path below the number of tokens
 
-    Only words on which no verdict rests give way to a wildcard, and lines that say the same few words again and again
-    are not merged with others, so a template's verdict is that of each of its lines, whichever lines it meets.
-    """
 
-    def __init__(self, similar: float = 0.6):
-        self.similar, self.templates, self.repeated, self.alike = similar, [], [], {}
-
-    def add(self, line: str) -> int:
-        tokens = line.split()
-        shape = tuple(map(_shape, tokens))
-        repeated = repeats(line)
-        numbers = self.alike.setdefault((shape, repeated), [])
-        for i in numbers:
-            known = self.templates[i]
-            same = sum(a == b for a, b in zip(known, tokens))
-            if same >= self.similar * len(tokens):
-                self.templates[i] = [a if a == b else c for a, b, c in zip(known, tokens, shape)]
-                return i
-        numbers.append(len(self.templates))
-        self.templates.append(tokens)
-        self.repeated.append(repeated)
-        return len(self.templates) - 1
-
-    def verdicts(self) -> list[str | None]:
-        return [verdict(" ".join(t), r) for t, r in zip(self.templates, self.repeated)]
-
-
-LEAF_LINES = 2_000  # different lines of one leaf that are merged together
-DEPTH = 2  # tokens of the fixed-depth path below the number of tokens
+def skeleton(line: str) -> str:
+    """A line with wildcards for the words on which no verdict rests: its template within a leaf."""
+    return " ".join(map(_shape, line.split()))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, line, aside): the different bare lines of each document."""
-    for batch in batches:
-        doc, line, aside = [], [], []
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = dict.fromkeys(bare_lines(t))
-            for text, beside in found:
-                doc.append(d)
-                line.append(text)
-                aside.append(beside)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.string()), pa.array(aside, pa.bool_())], names=["doc", "line", "aside"])
-
-
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, line) sorted by leaf and line -> (line, verdict) of the lines whose template has one."""
-    now, tree, lines = None, PrefixTree(), []
-
-    def classified() -> pa.RecordBatch:
-        said = tree.verdicts()
-        found = [(line, said[i]) for line, i in lines]
-        found = [x for x in found if x[1]]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["line", "verdict"])
+# Endings of source files, whose whole text cannot be a sentence.
+SOURCE_ENDINGS = "py pyi js mjs cjs ts tsx jsx c h cc cpp hpp cs java kt go rs rb php pl swift scala sql sh bash css scss lua r m vue".split()
+ALONE_WORDS = 4  # words that a sentence has at least
+
 
+def stands_alone(text: str, path: str | None, lines: list[tuple[str, bool]]) -> bool:
+    """Whether a source file's whole text is one or two sentences without any code."""
+    ending = (path or "").rsplit("/", 1)[-1].lower().rpartition(".")
+    if not ending[1] or ending[2] not in SOURCE_ENDINGS or not 0 < len(lines) <= 2:
+        return False
+    whole = [x for x in re.split(r"\r\n|\r|\n", text.strip("\ufeff \t\r\n")) if x.strip()]
+    return len(whole) == len(lines) and all(x[0] not in "<{" and len(WORD.findall(x)) >= ALONE_WORDS for x in whole)
+
+
+SCAN_DDL = "doc bigint, size int, head string, template string, again boolean, aside boolean, alone boolean"
+SCAN = pa.schema([("doc", pa.int64()), ("size", pa.int32()), ("head", pa.string()), ("template", pa.string()), ("again", pa.bool_()), ("aside", pa.bool_()), ("alone", pa.bool_())])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places in the tree of each document's different bare lines; a row without a size if it has an open slot."""
+    for batch in batches:
+        out = []
+        for doc, text, path in zip(*(c.to_pylist() for c in batch.columns)):
+            lines = bare_lines(text)
+            alone = stands_alone(text, path, lines)
+            rows = {}
+            for line, aside in lines:
+                tokens = line.split()
+                key = (len(tokens), " ".join(tokens[:DEPTH]), skeleton(line), repeats(line))
+                rows[key] = rows.get(key, True) and aside
+            out += [(doc, *key, aside, alone) for key, aside in rows.items()]
+            if has_open_slot(text, path):
+                out.append((doc, None, None, None, None, None, None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(SCAN), SCAN)], schema=SCAN)
+
+
+CLASSED_DDL = "size int, head string, template string, again boolean, verdict string"
+
+
+def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(size, head, template, again, docs, alone), one row for each template -> those that have a verdict."""
     for batch in batches:
-        for leaf, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if leaf != now:
-                if lines:
-                    yield classified()
-                now, tree, lines = leaf, PrefixTree(), []
-            lines.append((line, tree.add(line)))
-    if lines:
-        yield classified()
+        said = [verdict(t, a) or ("error" if 2 * alone >= docs else None) for t, a, docs, alone in zip(*(batch.column(c).to_pylist() for c in ("template", "again", "docs", "alone")))]
+        keep = pa.array([v is not None for v in said])
+        found = batch.select(["size", "head", "template", "again"]).filter(keep)
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.array([v for v in said if v], pa.string())], names=["size", "head", "template", "again", "verdict"])
 
 
 NOUN = rf"(?:{'|'.join(SLOT_NOUNS + SLOT_YEARS)})"
@@ -354,6 +361,18 @@ DOLLARS = re.compile(rf"\$\{{{SPACE_NAME}\}}|\$({NAME})\$", re.I)
 BRACKETS = re.compile(rf"(?<![\[\w])\[({NAME})\](?![\[(\w:])|(?<![<\w])<({NAME})>(?![>\w])", re.I)
 SHOUTED = re.compile(rf"(?<![\w$%@{{<\[])(?:(?:YOUR|INSERT|ENTER)[ _-]{NAME.upper()}|{NAME.upper()}[ _](?:GOES_|GOES )?HERE)(?![\w}}])|\b(?:your|insert)[ _-]{NAME}[ _-]here\b|\b(?i:title|text) goes here\b")
 YOUR_NAME = re.compile(r"^\W*copyright\b.*\byour name\b", re.I)
+# Marks around any name, as the whole value of a field, or as a word of a sentence.
+FREE_NAME = r"[A-Za-z]\w*(?:[ _.-][A-Za-z]\w*){0,4}"
+FREE_MARK = "|".join(rf"{a}\s*{FREE_NAME}\s*{b}" for a, b in ((r"\{\{", r"\}\}"), ("<%=?", "%>"), (r"\[\[", r"\]\]"), ("<<", ">>"), ("«", "»"), ("&lt;", "&gt;"), ("@@", "@@"), ("%%", "%%"), (r"#\{", r"\}")))
+FIELD = re.compile(rf"^\W*[\w .-]{{1,40}}[\"']?\s*[:=]\s*[\"']?(?:{FREE_MARK})[\"']?[,;.]?\s*$")
+SENTENCE_SLOT = re.compile(rf"(?<![^\s\"'(>*_])(?:{FREE_MARK})(?![^\s\"'),.;:!?<*_])")
+ADDRESSED = re.compile(r"\b(?i:dear|hello|hi|welcome|by|from|to|for|at|with|contact|call|signed|sincerely|regards)[, ]+(?:\[[A-Z][A-Z _]{2,40}\]|<[A-Z][A-Z _]{2,40}>)(?![\[(:])")
+# Capitals in brackets that are no names of values, as usage lines and logs have them.
+NO_NAMES = re.compile(r"[\[<](?:OPTIONS?|ARGS?|ARGUMENTS?|FILES?|PATH|PATHS|DIR|COMMAND|URL|INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL|TODO|WIP|OK|FAIL|PASS|HOST|PORT|IMAGE)[\]>]")
+# Endings of texts and of settings in which such marks are no syntax.
+TEXT_ENDINGS = "md markdown rst txt text adoc".split()
+FIELD_ENDINGS = [*TEXT_ENDINGS, *"json toml ini cfg properties".split()]
+CONTROL = re.compile(r"\{%-?\s*(?:for|if|else|end\w*|block|extends|include|set|macro)\b|<%-?\s*(?:if|for|end|\w+\.each)\b|\{\{[#/^>]")
 COMMENT = re.compile(r"^\s*(?:#|//|--|/\*|\*|<!--|;|%)")
 QUOTED_CODE = re.compile(r"`[^`]*$")
 
@@ -363,15 +382,38 @@ def _is_slot(name: str) -> bool:
     return any(w in SLOT_NOUNS or w in SLOT_YEARS for w in words)
 
 
+def _free_slot(text: str, ending: str) -> bool:
+    """Whether a mark around any name is the whole value of a field, or a word of a sentence."""
+    if ending not in FIELD_ENDINGS or not FREE_HINT.search(text) or CONTROL.search(text):
+        return False
+    lines = [line.strip("\ufeff \t") for line in re.split(r"\r\n|\r|\n", text)]
+    fences, fenced = _fences(lines), False
+    for i, line in enumerate(lines):
+        fenced ^= i in fences
+        if fenced or "`" in line or not FREE_HINT.search(line):
+            continue
+        if FIELD.match(line) or (ending in TEXT_ENDINGS and not CODE.search(FREE.sub("x", line)) and SENTENCE_SLOT.search(line)):
+            return True
+        if ending in TEXT_ENDINGS and ADDRESSED.search(NO_NAMES.sub("", line)):
+            return True
+    return False
+
+
+FREE = re.compile(FREE_MARK)
+FREE_HINT = re.compile(r"\{\{|<%|\[\[|<<|«|&lt;|@@|%%|#\{|[\[<][A-Z]{2}")
+
+
 def has_open_slot(text: str, path: str | None) -> bool:
     """Whether a mark that should have been replaced stands where a value belongs."""
     low = text.lower()
-    if not any(noun in low for noun in (*SLOT_NOUNS, *SLOT_YEARS)):
-        return False
     base = (path or "").rsplit("/", 1)[-1].lower()
     endings = base.split(".")[1:]
     if any(e in TEMPLATE_ENDINGS for e in endings):
         return False
+    if _free_slot(text, endings[-1] if endings else "txt"):
+        return True
+    if not any(noun in low for noun in (*SLOT_NOUNS, *SLOT_YEARS)):
+        return False
     dollar_code = bool(endings) and endings[-1] in DOLLAR_SYNTAX
     for pattern in (MARKS, DOLLARS, BRACKETS, SHOUTED):
         for m in pattern.finditer(text):
@@ -396,42 +438,25 @@ def has_open_slot(text: str, path: str | None) -> bool:
     return "your name" in low and any(YOUR_NAME.search(line) for line in text.split("\n"))
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [d for d, t, p in zip(*(c.to_pylist() for c in batch.columns)) if has_open_slot(t, p)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(["slot"] * len(found), pa.string())], names=["doc", "verdict"])
-
-
-def _leaves(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """(leaf, line): number of tokens and first tokens, twice as many in each round while a leaf is crowded."""
-    tokens, depth, done = F.split("line", " "), DEPTH, []
-    leaf = lambda n: F.concat_ws("\t", F.size(tokens).cast("string"), F.slice(tokens, 1, n))
-    left = scratch.write(distinct.select(leaf(depth).alias("leaf"), "line"), f"leaves{depth}")
-    while True:
-        crowded = scratch.write(left.groupBy("leaf").count().filter(F.col("count") > LEAF_LINES).select("leaf"), f"crowded{depth}")
-        if crowded.isEmpty():
-            break
-        done.append(left.join(crowded, "leaf", "left_anti"))
-        depth *= 2
-        left = scratch.write(left.join(crowded, "leaf", "left_semi").select(leaf(depth).alias("leaf"), "line"), f"leaves{depth}")
-    return reduce(DataFrame.unionByName, done, left)
+PLACE = ["size", "head", "template", "again"]
 
 
 def residue_verdicts(documents: DataFrame, doc: str, text: str, path: str | None = None) -> DataFrame:
     """(doc_id, verdict): 'error', 'notice', 'filler' or 'slot', one row for each that a document has.
 
-    - Null and empty texts and null ids give no rows; repeated rows change nothing; whole texts of any length are read.
+    - Null and empty texts and null ids give no rows; repeated rows count as further documents; whole texts of any length are read.
       A null path is a file without ending. Other columns are ignored, whatever they are called.
     """
     scratch = Scratch(documents.sparkSession, "residue")
     name = F.col(path) if path else F.lit(None).cast("string")
     rows = documents.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"), name.alias("path")).filter("doc is not null and length(text) > 0")
-    lines = scratch.write(rows.select("doc", "text").mapInArrow(_lines, "doc bigint, line string, aside boolean"), "lines")
-    distinct = lines.groupBy("line").agg(F.lit(1).alias("one")).select("line")
-    split = _leaves(distinct, scratch)
-    said = scratch.write(split.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_templates, "line string, verdict string"), "said")
-    messages = lines.join(said, "line").filter("not (aside and verdict = 'notice')").select("doc", "verdict")
-    return messages.unionByName(rows.mapInArrow(_slots, "doc bigint, verdict string")).distinct().select(F.col("doc").alias("doc_id"), "verdict")
+    found = scratch.write(rows.mapInArrow(_scan, SCAN_DDL), "lines")
+    lines = found.filter("size is not null")
+    templates = lines.groupBy(*PLACE).agg(F.count("*").alias("docs"), F.count_if("alone").alias("alone"))
+    said = scratch.write(templates.mapInArrow(_classify, CLASSED_DDL), "said")
+    messages = lines.join(said, PLACE).filter("not (aside and verdict = 'notice')").select("doc", "verdict")
+    slots = found.filter("size is null").select("doc", F.lit("slot").alias("verdict"))
+    return messages.unionByName(slots).distinct().select(F.col("doc").alias("doc_id"), "verdict")
 
 
 def residue_documents(documents: DataFrame, doc: str, text: str, path: str | None = None) -> DataFrame:

@@ -8,8 +8,7 @@ import pytest
 from ringweave.llm.copies import Trie, collapsed, copy_members
 from ringweave.llm.leaks import leaked_items
 from ringweave.llm.packing import pack, token_counts
-from ringweave.llm import residue
-from ringweave.llm.residue import PrefixTree, bare_lines, has_open_slot, residue_documents, residue_verdicts, verdict
+from ringweave.llm.residue import bare_lines, has_open_slot, repeats, residue_documents, residue_verdicts, skeleton, verdict
 from ringweave.llm.topn import top_items
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -191,16 +190,7 @@ def test_residue_reads_whole_texts(spark):
     assert {(r.doc_id, r.verdict) for r in residue_verdicts(df, "d", "t").collect()} == {(i, v) for i, (_, v) in enumerate(found)}
 
 
-def merged(lines):
-    """Each line's verdict, by its template alone."""
-    trees = defaultdict(PrefixTree)
-    placed = [(line, (len(line.split()), *line.split()[:2])) for line in lines]
-    at = [(line, leaf, trees[leaf].add(line)) for line, leaf in placed]
-    said = {leaf: tree.verdicts() for leaf, tree in trees.items()}
-    return {line: said[leaf][i] for line, leaf, i in at}, sum(len(t.templates) for t in trees.values())
-
-
-def test_templates_carry_the_verdicts_of_their_lines():
+def test_skeletons_keep_the_verdicts_of_their_lines():
     rng = random.Random(8)
     spoken = "the this page file 404 <*> not found, is what returns please enable javascript: error: too many requests lorem ipsum dolor sit amet text goes here. without it some charts need oops! replace timed out".split()
     free = [f"{a}{b}{c}" for a in ("brick", "gravel", "lumber") for b in ("walls", "yards", "halls") for c in ("", ",", ".", "xyz")]
@@ -209,20 +199,45 @@ def test_templates_carry_the_verdicts_of_their_lines():
     lines += [f"the page {w} could not be found" for w in free] + [f"to see {w} please turn on scripts" for w in free]
     lines += ["lorem ipsum dolor sit amet brickwalls", "text goes here. " * 3 + "brickyards", "brickwalls " * 11 + "gravel", "brickwalls " * 4 + "gravelyards lumberhalls " * 4]
     lines = [" ".join(x.split()) for x in lines]
-    got, count = merged(lines)
-    assert got == {line: verdict(line) for line in lines}
-    assert count < len(lines) - 2 * (len(free) - 4) and {"error", "notice", "filler", None} == set(got.values())
+    got = {line: verdict(skeleton(line), repeats(line)) for line in lines}
+    assert got == {line: verdict(line) for line in lines} and {"error", "notice", "filler", None} == set(got.values())
+    assert len({skeleton(f"the page {w} could not be found") for w in free if w.isalpha()}) == 1
+
+
+def test_templates_of_lone_sentences_are_messages_wherever_they_stand(spark):
+    """What no lexicon knows: a sentence that source files consist of, with words that differ, is a message inside others too."""
+    place = lambda w: f"Our quarry has {w} nothing under that label."
+    rows = [("a.py", place("brickwalls")), ("b.js", "\n" + place("gravelyards") + "\n"), ("c.rs", place("lumberhalls")), ("d.go", "package x\n\nfunc f() {\n}\n" + place("gravelwalls") + "\n")]
+    rows += [("e.md", place("lumberyards") + "\nMore of the text."), ("f.txt", "Sound stone lasts."), ("g.py", "Gravel is heavy here now."), *((f"h{i}.md", f"# Stone\n\nGravel is {w} here now.\nIt is.") for i, w in enumerate(("light", "dusty", "heavy")))]
+    df = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "d long, t string, p string")
+    assert verdict(skeleton(bare_lines(rows[0][1])[0][0])) is None
+    assert {r.doc_id for r in residue_documents(df, "d", "t", "p").collect()} == {0, 1, 2, 3, 4}
+
+
+MORE = [
+    ("Access to this resource has been restricted by the administrator.", "error"), ("An unexpected exception occurred while processing your request.", "error"),
+    ("You do not have permission to view this directory.", "error"), ("Your connection has expired. Please sign in again.", "error"),
+    ("Please wait while we verify your browser.", "notice"), ("Complete the security check to continue.", "notice"), ("Access is denied when the token has expired.", None),
+    ("An error occurred if the callback is called twice.", None), ("The walls of the old town were built by hand.", None),
+]
 
 
-def test_crowded_leaves_change_no_verdict(spark, monkeypatch):
-    free = [f"{a}{b}" for a in ("brick", "gravel", "lumber") for b in ("walls", "yards", "halls")]
-    lines = ["12 not found is what it returns", "7 not found in what it returns", "not found"] + [f"the page {w} of {v} could not be found" for w in free for v in free]
-    lines += [f"the {w} of {v} was built in spring" for w in free for v in free]
-    df = spark.createDataFrame(list(enumerate(lines)), "d long, t string")
-    expected = {i for i, t in enumerate(lines) if any(verdict(x) for x, _ in bare_lines(t))}
-    for size in (1000, 5, 1):
-        monkeypatch.setattr(residue, "LEAF_LINES", size)
-        assert {r.doc_id for r in residue_verdicts(df, "d", "t").collect()} == expected
+def test_further_wordings():
+    assert [(t, next((v for x, _ in bare_lines(t) if (v := verdict(skeleton(x), repeats(x)))), None)) for t, _ in MORE] == MORE
+
+
+def test_marks_around_any_name_where_a_value_belongs():
+    found = [("Phone: {{ phone }}", "a.md"), ("Call us at {{ phone }} today.", "README"), ("Price: {{ price }}", "a.txt"), ("Dear {{ customer_name }},\nthanks", "l.txt"), ("Date: {{DATE}}", "a.md"), ("Dear [RECIPIENT],", "a.md"), ('{\n "phone": "{{ phone }}"\n}', "a.json")]
+    clean = [("x = f'{a}-{{pool}}'", "a.md"), ("Usage: tool [OPTIONS] FILE", "a.md"), ("Use `{{ phone }}` for it.", "a.md"), ("```\nphone: {{ phone }}\n```", "a.md"), ("port: {{ port }}", "a.yml"), ("{% for x in y %}\nport: {{ port }}\n", "a.md"), ("Phone: {{ phone }}", "a.md.j2")]
+    assert [has_open_slot(*x) for x in found] == [True] * len(found) and [has_open_slot(*x) for x in clean] == [False] * len(clean)
+
+
+def test_no_part_of_a_text_is_skipped():
+    said = lambda t: {verdict(skeleton(x), repeats(x)) for x, _ in bare_lines(t)} - {None}
+    assert said("```\nx\n" + "The page you asked for is gone.\n") == {"error"}  # a fence that nothing closes
+    assert said("```\nThe page you asked for is gone.\n```\n") == set()
+    assert said(f"<p class='{'x' * 2000}'>404 Not Found</p>") == {"error"}
+    assert said('{"error": {"status": 410, "reason": "gone"}}') == {"error"} and said('{"status": 200, "reason": "gone"}') == set()
 
 
 def test_json_bodies_say_errors_at_any_key_and_line(spark):
