@@ -97,21 +97,34 @@ def sequence_rows():
     return rows + [(108, base[1]), (108, base[1]), (109, "ß" + base[2] + "é"), (110, "G" * 59), (111, "T" * 30_000)]
 
 
-@pytest.mark.parametrize("size,kinds", [(31, 20_000), (60, 20_000), (60, 2)])
-def test_spans(spark, size, kinds):
+@pytest.mark.parametrize("size,hot", [(24, 100_000), (31, 5), (60, 100_000), (60, 2), (64, 0), (65, 100_000), (100, 3), (300, 100_000)])
+def test_spans(spark, size, hot):
     rows = sequence_rows()
     df = spark.createDataFrame([(n, s, 7, "x") for n, s in rows], "number long, s string, start int, band string")
-    got = [tuple(r) for r in shared_spans(df, "number", "s", span=size, kinds=kinds).collect()]
+    got = [tuple(r) for r in shared_spans(df, "number", "s", span=size, hot_rows=hot).collect()]
     assert len(got) == len(set(got))
     assert set(got) == spans_by_windows(rows, size)
 
 
-def test_clusters(spark):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_clusters(spark, hot):
     rows = [(1, "ACGGT" * 20), (2, "TT" + "ACGGT" * 20), (3, "GGC" * 30 + "ACGGT" * 14), (4, "GGC" * 30), (5, "CATTG" * 30), (6, "CATTG" * 30), (7, "A" * 10)]
-    got = {r.ref_no: r.cluster for r in span_clusters(spark.createDataFrame(rows, "n long, s string"), "n", "s").collect()}
+    got = {r.ref_no: r.cluster for r in span_clusters(spark.createDataFrame(rows, "n long, s string"), "n", "s", hot_rows=hot).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}
 
 
+def test_clusters_of_many_records(spark):
+    rows = sequence_rows()
+    spans = defaultdict(set)
+    for number, seq in rows:
+        for i in range(len(letters(seq)) - 59):
+            if number is not None and re.fullmatch("[ACGT]+", letters(seq)[i : i + 60]):
+                spans[letters(seq)[i : i + 60]].add(number)
+    expected = union_find([(min(x), y) for x in spans.values() for y in x if y != min(x)])
+    got = span_clusters(spark.createDataFrame(rows, "n long, s string"), "n", "s").collect()
+    assert len(got) == len(expected) and {r.ref_no: r.cluster for r in got} == expected
+
+
 def test_no_sequences(spark):
     empty = spark.createDataFrame([], "n long, s string")
     assert shared_spans(empty, "n", "s").collect() == []
