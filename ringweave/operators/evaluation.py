@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringweave.functions.sequences import f1
@@ -64,10 +64,32 @@ def zero_filled(rows: DataFrame, wanted: DataFrame, keys: list[str], values: lis
 
 
 def levels(total: int, step: int) -> Column:
-    """[0, step, 2 step, ..., total] as an array; the last step may be shorter."""
+    """[0, step, 2 step, ..., total] as an array; the last step may be shorter. For totals known to be small."""
     return F.array_distinct(F.concat(F.sequence(F.lit(0), F.lit(total), F.lit(step)), F.array(F.lit(total))))
 
 
+def level_scores(refs: DataFrame, order: list[str], step: int = 20) -> DataFrame:
+    """(tool, level, repetitions, recall): length-weighted union recall of a tool's first 0, step, 2 step, ..., all references.
+
+    Only the levels between none and all are repeated. order: columns by which references are taken; the last of them
+    may be anything that ranks equal ones. Running sums are taken over blocks of the first column's beginnings, so no tool is one
+    sorted task.
+    """
+    length = F.col("length").cast("double")
+    rows = refs.select("tool", *order, length.alias("__l"), (length * F.coalesce("union_recall", F.lit(0.0))).alias("__r"), F.substring(order[0], 1, 11).alias("__block"))
+    blocks = rows.groupBy("tool", "__block").agg(F.count("*").alias("__n"), F.sum("__l").alias("__bl"), F.sum("__r").alias("__br"))
+    over = Window.partitionBy("tool")
+    upto = over.orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    before = blocks.select("tool", "__block", *[(F.sum(c).over(upto) - F.col(c)).alias(f"__before{c}") for c in ("__n", "__bl", "__br")], F.sum("__n").over(over).alias("__all"))
+    inside = Window.partitionBy("tool", "__block").orderBy(*order)
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select("tool", "__block", F.row_number().over(inside).alias("__i"), F.sum("__l").over(running).alias("__il"), F.sum("__r").over(running).alias("__ir")).join(before, ["tool", "__block"])
+    placed = placed.select("tool", (F.col("__before__n") + F.col("__i")).cast("int").alias("level"), F.col("__all"), F.try_divide(F.col("__before__br") + F.col("__ir"), F.col("__before__bl") + F.col("__il")).alias("recall"))
+    none = placed.select("tool", F.lit(0).alias("level"), "__all", F.lit(0.0).alias("recall")).distinct()
+    found = placed.filter((F.col("level") % step == 0) | (F.col("level") == F.col("__all"))).unionByName(none)
+    return found.select("tool", "level", F.when((F.col("level") == 0) | (F.col("level") == F.col("__all")), 1).otherwise(3).alias("repetitions"), "recall")
+
+
 def translocations(hits: DataFrame, lengths: DataFrame, *, side: str = "q") -> DataFrame:
     """Per record: its best partner, and the shares of its positions that the partner covers, only others do, none does.
 
@@ -88,6 +110,21 @@ def translocations(hits: DataFrame, lengths: DataFrame, *, side: str = "q") -> D
     )
 
 
+def binned(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """Hits whose subject is a member of a bin, with the bin in place of the subject: a bin's stretches are those of all its members.
+
+    members: (contig, bin). A contig in several bins gives a hit for each.
+    """
+    return hits.join(members.select(F.col("contig").alias("sseqid"), "bin"), "sseqid").drop("sseqid").withColumnRenamed("bin", "sseqid")
+
+
+def scores_from_totals(refs: DataFrame, preds: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, evaluation, precision, recall, f1 from totals of translocations: matched shares are 'best', matched and translocated ones 'union'."""
+    rows = lambda df, out: df.select(*keys, F.inline(F.array(F.struct(F.lit("best").alias("evaluation"), F.col("matched").alias(out)), F.struct(F.lit("union").alias("evaluation"), (F.col("matched") + F.col("translocated")).alias(out)))))
+    joined = rows(refs, "recall").join(rows(preds, "precision"), [*keys, "evaluation"])
+    return joined.select(*keys, "evaluation", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
+
+
 def translocation_totals(found: DataFrame, keys: list[str]) -> DataFrame:
     """keys, matched records, the share of them with a translocation, and length-weighted shares."""
     w = lambda c: F.try_divide(F.sum(F.col(c) * F.col("length")), F.sum("length")).alias(c)
@@ -95,10 +132,11 @@ def translocation_totals(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(n.alias("n_matched"), F.try_divide(F.count_if((F.col("matched") > 0) & (F.col("translocated") > 0)), n).alias("translocated_records"), w("matched"), w("translocated"), w("unaligned"))
 
 
-def unpivoted(df: DataFrame, key: str, columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
-    """Wide to long; a missing column gives no rows."""
+def unpivoted(df: DataFrame, keys: str | list[str], columns: list[str], name: str = "metric", value: str = "value", kind: str = "string") -> DataFrame:
+    """Wide to long, values of one kind; a missing column gives no rows."""
     there = [c for c in columns if c in df.columns]
-    return df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("string").alias(value)) for c in there])))
+    keys = [keys] if isinstance(keys, str) else keys
+    return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast(kind).alias(value)) for c in there])))
 
 
 def united(*frames: DataFrame) -> DataFrame:
@@ -120,3 +158,16 @@ def count_ratios(refs: DataFrame, part: Column) -> DataFrame:
 def sweep_table(runs: dict[str, DataFrame], keys: list[str], values: list[str]) -> DataFrame:
     """Results of runs with different parameters as one long table with the run's name."""
     return united(*[df.select(F.lit(name).alias("run"), *keys, *values) for name, df in runs.items()])
+
+
+def largest_alignments(hits: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(sample_id, mean_length, largest, share): a sample's largest alignment with another sample's record, 0 if none, against the mean length of its own.
+
+    contigs: (contig, length, sample_id).
+    """
+    mean = contigs.groupBy("sample_id").agg(F.avg("length").alias("mean_length"))
+    q, s = (contigs.select(F.col("contig").alias(k), F.col("sample_id").alias(f"{k}_sample")) for k in ("qseqid", "sseqid"))
+    across = hits.select("qseqid", "sseqid", F.col("length").alias("n")).join(q, "qseqid").join(s, "sseqid").filter("qseqid_sample <> sseqid_sample")
+    largest = across.groupBy(F.col("qseqid_sample").alias("sample_id")).agg(F.max("n").alias("largest"))
+    joined = mean.join(largest, "sample_id", "left").withColumn("largest", F.coalesce("largest", F.lit(0)))
+    return joined.withColumn("share", F.try_divide("largest", "mean_length"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringweave.functions.sequences import gc_fraction, overlap_length
-from ringweave.operators.weighted import n50
+from ringweave.operators.weighted import deviations, mean_of, n50, places, quantiles
 from ringweave.session import Scratch
 
 
@@ -93,17 +93,20 @@ def graph_statistics(segments: DataFrame, links: DataFrame) -> DataFrame:
     """The twelve characteristics of each sample's graph."""
     length = normal_segments(segments).select("sample_id", "seg_name", F.coalesce("length", F.lit(0)).alias("length"))
     per_seg = length.join(degrees(segments, links), ["sample_id", "seg_name"]).join(components(segments, links), ["sample_id", "seg_name"])
-    half = F.lit(0.5)
-    base = per_seg.groupBy("sample_id").agg(
-        F.avg("degree").alias("mean_degree"), F.percentile("degree", half).alias("median_degree"), F.avg("length").alias("mean_length"), F.percentile("length", half).alias("median_length"),
-        F.count_if(F.col("degree") == 1).alias("dead_ends"), F.try_divide(F.count_if(F.col("degree") == 1), F.count_if(F.col("degree") > 0)).alias("dead_end_share"),
+    by, middle = ["sample_id"], lambda df, value, name: quantiles(df, ["sample_id"], value, {name: 0.5})
+    per_seg = Scratch(segments.sparkSession, "statistics").write(per_seg, "segments")  # read for each of the statistics
+    base = per_seg.groupBy(*by).agg(
+        F.avg("degree").alias("mean_degree"), F.avg("length").alias("mean_length"), F.count_if(F.col("degree") == 1).alias("dead_ends"),
+        F.try_divide(F.count_if(F.col("degree") == 1), F.count_if(F.col("degree") > 0)).alias("dead_end_share"),
     )
     sizes = per_seg.groupBy("sample_id", "component").agg(F.sum("length").alias("nt"), F.count("*").alias("n"))
-    comps = sizes.groupBy("sample_id").agg(
-        F.count("*").alias("n_components"), (F.sum("nt") / F.count("*")).alias("mean_component_nt"), F.percentile("nt", half).alias("median_component_nt"),
-        (F.sum("n") / F.count("*")).alias("mean_component_segments"), F.percentile("n", half).alias("median_component_segments"),
-    )
-    return base.join(comps, "sample_id").join(n50(length, ["sample_id"], "length"), "sample_id", "left")
+    comps = sizes.groupBy(*by).agg(F.count("*").alias("n_components"), (F.sum("nt") / F.count("*")).alias("mean_component_nt"), (F.sum("n") / F.count("*")).alias("mean_component_segments"))
+    for more in (
+        comps, middle(per_seg, "degree", "median_degree"), middle(per_seg, "length", "median_length"), middle(sizes, "nt", "median_component_nt"), middle(sizes, "n", "median_component_segments"),
+        n50(per_seg, by, "length"),
+    ):
+        base = base.join(more, by, "left")
+    return base
 
 
 def representatives(segments: DataFrame, links: DataFrame) -> DataFrame:
@@ -118,10 +121,9 @@ def seeds(segments: DataFrame, links: DataFrame, densities: DataFrame, *, min_de
     """Eligible segments with their place in the order in which they are tried, 1 first.
 
     densities: (sample_id, seg_name, density). Branching segments are tried behind unambiguous ones, within either the
-    lower sums of normalised density and GC difference later; the larger name first where they are equal.
+    lower sums of normalised density and GC difference later; the larger name first where they are equal to 9 decimals.
+    No sample is one sorted task: places are counted over blocks of these sums.
     """
-    from ringweave.operators.weighted import deviations, mean_of
-
     normal = normal_segments(segments).join(densities, ["sample_id", "seg_name"])
     overall = normal_segments(segments).filter("length is not null").groupBy("sample_id").agg(mean_of("gc", "length").alias("overall_gc"))
     able = normal.filter((F.col("depth") >= min_depth) & (F.col("density") >= min_density) & (F.col("length") <= max_length)).join(overall, "sample_id")
@@ -132,5 +134,8 @@ def seeds(segments: DataFrame, links: DataFrame, densities: DataFrame, *, min_de
     ways = edges(links).groupBy("sample_id", F.col("src").alias("seg_name")).agg(F.count_if(F.col("src_ori") == "+").alias("out"), F.count_if(F.col("src_ori") == "-").alias("into"))
     ranked = able.join(spread, "sample_id").join(ways, ["sample_id", "seg_name"], "left").withColumn("z", z)
     plain = (F.coalesce("out", F.lit(0)) <= 1) & (F.coalesce("into", F.lit(0)) <= 1)
-    order = Window.partitionBy("sample_id").orderBy(F.desc("unambiguous"), F.desc("z"), F.desc("seg_name"))
-    return ranked.withColumn("unambiguous", plain).select("sample_id", "seg_name", "length", "depth", "density", "gc", "z", "unambiguous", F.row_number().over(order).alias("place"))
+    ranked = ranked.withColumn("unambiguous", plain).select("sample_id", "seg_name", "length", "depth", "density", "gc", "z", "unambiguous", (-F.round("z", 9)).alias("__z"))
+    placed = places(ranked, ["sample_id", "unambiguous"], "__z", F.desc("seg_name"))
+    first = ranked.groupBy("sample_id").agg(F.count_if("unambiguous").cast("int").alias("__plain"))
+    behind = F.col("place") + F.when(F.col("unambiguous"), 0).otherwise(F.col("__plain"))
+    return placed.join(first, "sample_id").select("sample_id", "seg_name", "length", "depth", "density", "gc", "z", "unambiguous", behind.alias("place"))

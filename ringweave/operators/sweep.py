@@ -4,8 +4,8 @@ An interval gives a plus event at its first position and a minus event behind it
 netted, a prefix sum over the positions gives the number of open intervals, and the places where that number leaves or
 reaches zero bound the covered periods and the gaps.
 
-Entities of up to ``hot_rows`` intervals are swept as one sorted group after one shuffle by entity. Larger entities, of
-which there can be at most rows / hot_rows, are swept in blocks of ``block`` positions: their events are netted before
+Entities of up to ``hot_rows`` intervals are swept as one sorted group after one shuffle by entity. Larger entities
+are swept in blocks of ``block`` positions: their events are netted before
 the shuffle, a block holds at most ``block`` positions however many rows the entity has, and what is open at a block's
 start is a prefix sum over the entity's blocks.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ringweave.session import Scratch
 
-#: At most so many hot entities are told apart, so that their keys are small enough to be sent to every task.
-MOST_HOT = 100_000
+#: The keys of up to so many hot entities are sent to every task; more are joined.
+MOST_SENT = 100_000
 
 
 def _named(keys: list[str]) -> list[str]:
@@ -116,15 +116,16 @@ def periods_and_gaps(
         columns.append(F.when(known, F.greatest(a, b).cast("bigint") + 1).alias(f"__past{i}"))
     rows = df.select(*columns)
     scratch = Scratch(df.sparkSession, "sweep")
-    # Counted by entity with map-side combining; the threshold grows with the rows, which bounds the number of hot keys.
-    counts = rows.groupBy(*names).count()
-    hot = scratch.write(counts.filter(F.col("count") > max(hot_rows, df.count() // MOST_HOT)).select(*[F.col(n).alias(f"__h{n}") for n in names]), "hot")
-    if hot.isEmpty():
+    # Counted by entity with map-side combining.
+    hot = scratch.write(rows.groupBy(*names).count().filter(F.col("count") > hot_rows).select(*[F.col(n).alias(f"__h{n}") for n in names]), "hot")
+    n_hot = hot.count()
+    if not n_hot:
         found = _sweep_whole(rows, names, len(ends))
     else:
         same = [F.col(n).eqNullSafe(F.col(f"__h{n}")) for n in names]
-        found = _sweep_whole(rows.join(F.broadcast(hot), same, "left_anti"), names, len(ends)).unionByName(
-            _sweep_blocks(rows.join(F.broadcast(hot), same, "left_semi"), names, len(ends), block, scratch)
+        hot = F.broadcast(hot) if n_hot <= MOST_SENT else hot
+        found = _sweep_whole(rows.join(hot, same, "left_anti"), names, len(ends)).unionByName(
+            _sweep_blocks(rows.join(hot, same, "left_semi"), names, len(ends), block, scratch)
         )
     label = F.element_at(F.array(*[F.lit(s) for s in ends]), F.col("__side") + 1)
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], label.alias(side), "kind", "pos_from", "pos_to")

@@ -29,12 +29,16 @@ def deviations(df: DataFrame, keys: list[str], values: list[str], weight: str) -
     return sums.select(*keys, *out)
 
 
+def _block(value: str) -> Column:
+    """Blocks of about a thousandth of a value's size, in the values' order: a few thousand for each sign and power of ten."""
+    x = F.col(value).cast("double")
+    size = F.abs(x)
+    return F.coalesce(F.signum(x) * (F.floor(F.log2(F.when(size > 0, size)) * 1024) + 2_000_000), F.lit(0.0))
+
+
 def running_totals(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """keys, value, ``upto``: for each different value the total weight of the values up to it, and ``total``."""
-    # Blocks of about a thousandth of a value's size: a few thousand for each sign and power of ten.
-    size = F.abs(F.col(value).cast("double"))
-    block = F.signum(F.col(value).cast("double")) * (F.floor(F.log2(F.when(size > 0, size)) * 1024) + 2_000_000)
-    net = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w")).withColumn("__block", F.coalesce(block, F.lit(0.0)))
+    net = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w")).withColumn("__block", _block(value))
     blocks = net.groupBy(*keys, "__block").agg(F.sum("__w").alias("__b"))
     over = Window.partitionBy(*keys)
     before = blocks.select(
@@ -66,10 +70,30 @@ def n50(df: DataFrame, keys: list[str], length: str, name: str = "n50") -> DataF
     return totals.filter(F.col("upto") >= F.col("total") / 2).groupBy(*keys).agg(F.min(length).alias(name))
 
 
+def places(df: DataFrame, keys: list[str], value: str, *ties: Column, name: str = "place") -> DataFrame:
+    """Rows with ``name``: their place within the keys, 1 first, by ascending value and then by the given orders."""
+    rows = df.withColumn("__block", _block(value))
+    blocks = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.select(*keys, "__block", (F.sum("__n").over(before) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(value, *ties))
+    return rows.withColumn("__in", inside).join(blocks, [*keys, "__block"]).withColumn(name, (F.col("__before") + F.col("__in")).cast("int")).drop("__block", "__in", "__before")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each share: the value below which that share of the rows lies, interpolated; nulls are left out."""
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.lit(1).alias("__one"))
+    totals = running_totals(known, keys, "__v", "__one")
+    at = lambda share, more: F.min(F.when(F.col("upto") >= F.floor((F.col("total") - 1) * share) + 1 + more, F.col("__v")))
+    ends = [x.alias(f"__{side}{i}") for i, p in enumerate(shares.values()) for side, x in (("lo", at(p, 0)), ("hi", at(p, 1)))]
+    found = totals.groupBy(*keys).agg(F.first("total").alias("__n"), *ends)
+    part = lambda p: (F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p)
+    return found.select(*keys, *[(F.col(f"__lo{i}") + (F.coalesce(f"__hi{i}", f"__lo{i}") - F.col(f"__lo{i}")) * part(p)).alias(name) for i, (name, p) in enumerate(shares.items())])
+
+
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, minimum, mean, sd (of the sample), q25, median, q75 (interpolated), maximum."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.min(v).alias("minimum"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, F.lit(0.25)).alias("q25"),
-        F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("maximum"),
-    )
+    base = df.groupBy(*keys).agg(F.min(v).alias("minimum"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.max(v).alias("maximum"))
+    cuts = quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return base.join(cuts, keys, "left").select(*keys, "minimum", "mean", "sd", "q25", "median", "q75", "maximum")

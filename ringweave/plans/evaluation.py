@@ -8,12 +8,14 @@ from ringweave.functions import sequences as S
 from ringweave.operators import evaluation as E
 from ringweave.operators import references as R
 from ringweave.operators import weighted as W
-from ringweave.plans.catalog import query
+from ringweave.plans.catalog import SQL, query
 from ringweave.plans.hits import CONTIGS, contig_lengths, covered_sql
 from ringweave.plans.tables import table
 
 LETTERS = "upper(regexp_replace(seq, '[^A-Za-z]', '', 'g'))"
 REFS = f"rf AS (SELECT ref_no, id, {LETTERS} AS s, sample_id, release_date FROM df_references WHERE length({LETTERS}) > 0)"
+ACC = "'NZ_PL' || regexp_extract(id, '(?i)NZ[^A-Za-z0-9]?PL([0-9]+)\\.[0-9]+', 1) || '.' || regexp_extract(id, '(?i)NZ[^A-Za-z0-9]?PL[0-9]+\\.([0-9]+)', 1)"
+SPECIES = "sp AS (SELECT sample_id, array_to_string(list_slice(string_split(lower(organism), ' '), 1, 2), ' ') AS species FROM samples WHERE organism IS NOT NULL)"
 RC = "reverse(translate({}, 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN'))"
 
 
@@ -23,35 +25,56 @@ def references(spark, folder):
     return table(spark, folder, "df_references").withColumn("s", letters).filter("length(s) > 0").select("ref_no", "id", "s", "sample_id", "release_date")
 
 
+TRANS = f"""{CONTIGS}, mm AS (SELECT qseqid, sseqid, qstart, qend FROM matches WHERE qseqid <> sseqid AND qseqid NOT IN (SELECT gene_id FROM genes)),
+pp AS (WITH {covered_sql('mm', 'qseqid, sseqid', 'qstart', 'qend')} SELECT * FROM cov), aa AS (WITH {covered_sql('mm', 'qseqid', 'qstart', 'qend')} SELECT qseqid, covered AS any_covered FROM cov),
+bb AS (SELECT qseqid, sseqid AS partner, covered FROM (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY covered DESC, sseqid) AS k FROM pp) WHERE k = 1),
+tl AS (SELECT contig, length, partner, least(coalesce(covered, 0), length) / length AS matched, (least(coalesce(any_covered, 0), length) - least(coalesce(covered, 0), length)) / length AS translocated,
+  (length - least(coalesce(any_covered, 0), length)) / length AS unaligned FROM ct LEFT JOIN bb ON bb.qseqid = contig LEFT JOIN aa ON aa.qseqid = contig)"""
+
+
+def reference_translocations(spark, folder):
+    hits = table(spark, folder, "matches").join(table(spark, folder, "genes").select(F.col("gene_id").alias("qseqid")), "qseqid", "left_anti")
+    return E.translocations(hits, contig_lengths(spark, folder))
+
+
 def predictions(spark, folder):
-    """The table's scores seen from the other side: union recall as best precision and best recall as union precision."""
-    return table(spark, folder, "eval_refs").select("tool", "sample_id", "plasmid_id", "length", F.col("union_recall").alias("best_precision"), F.col("best_recall").alias("union_precision"))
+    """Received sequences as predictions of the tools that score an accession of theirs: shares of each that the hits with its best partner, and with any, cover."""
+    scored = table(spark, folder, "eval_refs").select("tool", "sample_id", F.col("plasmid_id").alias("contig")).distinct()
+    found = reference_translocations(spark, folder).select("contig", "length", F.col("matched").alias("best_precision"), (F.col("matched") + F.col("translocated")).alias("union_precision"))
+    return scored.join(found, "contig").select("tool", "sample_id", F.col("contig").alias("plasmid_id"), "length", "best_precision", "union_precision")
+
 
+PREDS = f"""{TRANS}, pd AS (SELECT tool, sample_id, plasmid_id, tl.length, matched AS best_precision, matched + translocated AS union_precision
+  FROM (SELECT DISTINCT tool, sample_id, plasmid_id FROM eval_refs) JOIN tl ON contig = plasmid_id)"""
 
-def scores_sql(keys: str, source: str = "eval_refs") -> str:
-    return f"""SELECT {keys}, e.evaluation, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM (
-  SELECT {keys}, sum(length * coalesce(best_recall, 0)) / sum(length) AS b, sum(length * coalesce(union_recall, 0)) / sum(length) AS u FROM {source} GROUP BY {keys}),
-  LATERAL (SELECT 'best' AS evaluation, u AS p, b AS r UNION ALL SELECT 'union', b, u) e"""
+
+def scores_sql(keys: str, refs: str = "eval_refs", preds: str = "pd") -> str:
+    k = keys.replace(" ", "").split(",")
+    same = " AND ".join(f"p.{c} IS NOT DISTINCT FROM r.{c}" for c in k)
+    return f"""SELECT {", ".join(f"x.{c}" for c in k)}, e.evaluation, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM (
+  SELECT {", ".join(f"r.{c}" for c in k)}, rb, ru, coalesce(pb, 0) AS pb, coalesce(pu, 0) AS pu
+  FROM (SELECT {keys}, sum(length * coalesce(best_recall, 0)) / sum(length) AS rb, sum(length * coalesce(union_recall, 0)) / sum(length) AS ru FROM {refs} GROUP BY {keys}) r
+  LEFT JOIN (SELECT {keys}, sum(length * best_precision) / sum(length) AS pb, sum(length * union_precision) / sum(length) AS pu FROM {preds} GROUP BY {keys}) p ON {same}) x,
+  LATERAL (SELECT 'best' AS evaluation, pb AS p, rb AS r UNION ALL SELECT 'union', pu, ru) e"""
 
 
 def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
-@query("tool_scores", scores_sql("tool"))
+@query("tool_scores", f"WITH {PREDS} {scores_sql('tool')}")
 def tool_scores(spark, folder):
     return rounded(E.scores(table(spark, folder, "eval_refs"), predictions(spark, folder), ["tool"]), "precision", "recall", "f1")
 
 
-@query("sample_scores", scores_sql("tool, sample_id"))
+@query("sample_scores", f"WITH {PREDS} {scores_sql('tool, sample_id')}")
 def sample_scores(spark, folder):
     return rounded(E.scores(table(spark, folder, "eval_refs"), predictions(spark, folder), ["tool", "sample_id"]), "precision", "recall", "f1")
 
 
-SPECIES = "sp AS (SELECT sample_id, array_to_string(list_slice(string_split(lower(organism), ' '), 1, 2), ' ') AS species FROM samples WHERE organism IS NOT NULL)"
 
 
-@query("species_scores", f"WITH {SPECIES}, x AS (SELECT * FROM eval_refs JOIN sp USING (sample_id)) {scores_sql('species, tool', 'x')}")
+@query("species_scores", f"WITH {SPECIES}, {PREDS}, rs AS (SELECT * FROM eval_refs JOIN sp USING (sample_id)), ps AS (SELECT * FROM pd JOIN sp USING (sample_id)) {scores_sql('species, tool', 'rs', 'ps')}")
 def species_scores(spark, folder):
     names = table(spark, folder, "samples").filter("organism is not null").select("sample_id", S.species(F.lower("organism")).alias("species"))
     joined = [df.join(names, "sample_id") for df in (table(spark, folder, "eval_refs"), predictions(spark, folder))]
@@ -74,7 +97,7 @@ def organism_names(spark, folder):
 
 @query(
     "baseline_differences",
-    f"WITH s AS ({scores_sql('tool, sample_id')}), u AS (SELECT * FROM s WHERE evaluation = 'union') SELECT a.sample_id, a.tool, round(b.f1 - a.f1, 8) AS difference FROM u a JOIN u b USING (sample_id) WHERE a.tool <> 'greedy' AND b.tool = 'greedy'",
+    f"WITH {PREDS}, s AS ({scores_sql('tool, sample_id')}), u AS (SELECT * FROM s WHERE evaluation = 'union') SELECT a.sample_id, a.tool, round(b.f1 - a.f1, 8) AS difference FROM u a JOIN u b USING (sample_id) WHERE a.tool <> 'greedy' AND b.tool = 'greedy'",
 )
 def baseline_differences(spark, folder):
     return E.differences(sample_scores(spark, folder).filter("evaluation = 'union'"), "greedy", "f1").withColumn("difference", F.round("difference", 8))
@@ -120,10 +143,10 @@ def zero_filled_scores(spark, folder):
 
 @query(
     "score_metrics_long",
-    """SELECT plasmid_id, m.metric, m.value FROM eval_refs, LATERAL (SELECT 'length' AS metric, CAST(length AS VARCHAR) AS value UNION ALL SELECT 'sample_id', CAST(sample_id AS VARCHAR) UNION ALL SELECT 'tool', tool) m""",
+    """SELECT tool, plasmid_id, m.metric, m.value FROM eval_refs, LATERAL (SELECT 'length' AS metric, CAST(length AS DOUBLE) AS value UNION ALL SELECT 'best_recall', best_recall UNION ALL SELECT 'union_recall', union_recall) m""",
 )
 def score_metrics_long(spark, folder):
-    return E.unpivoted(table(spark, folder, "eval_refs"), "plasmid_id", ["length", "sample_id", "tool"])
+    return E.unpivoted(table(spark, folder, "eval_refs"), ["tool", "plasmid_id"], ["length", "best_recall", "union_recall"], kind="double")
 
 
 @query(
@@ -141,9 +164,6 @@ def reference_counts(spark, folder):
     return joined.select("sample_id", F.coalesce("n_listed", F.lit(0)).alias("n_listed"), F.coalesce("n_received", F.lit(0)).alias("n_received"))
 
 
-ACC = "'NZ_PL' || regexp_extract(id, '(?i)NZ[^A-Za-z0-9]?PL([0-9]+)\\.[0-9]+', 1) || '.' || regexp_extract(id, '(?i)NZ[^A-Za-z0-9]?PL[0-9]+\\.([0-9]+)', 1)"
-
-
 @query(
     "accessions",
     f"""SELECT ref_no, CASE WHEN regexp_matches(id, '(?i)NZ[^A-Za-z0-9]?PL[0-9]+\\.[0-9]+') THEN {ACC} END AS accession,
@@ -247,18 +267,6 @@ def suffix_prefix_overlaps(spark, folder):
     return references(spark, folder).select("ref_no", S.suffix_prefix_overlap("s").alias("overlap"))
 
 
-TRANS = f"""{CONTIGS}, mm AS (SELECT qseqid, sseqid, qstart, qend FROM matches WHERE qseqid <> sseqid AND qseqid NOT IN (SELECT gene_id FROM genes)),
-pp AS (WITH {covered_sql('mm', 'qseqid, sseqid', 'qstart', 'qend')} SELECT * FROM cov), aa AS (WITH {covered_sql('mm', 'qseqid', 'qstart', 'qend')} SELECT qseqid, covered AS any_covered FROM cov),
-bb AS (SELECT qseqid, sseqid AS partner, covered FROM (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY covered DESC, sseqid) AS k FROM pp) WHERE k = 1),
-tl AS (SELECT contig, length, partner, least(coalesce(covered, 0), length) / length AS matched, (least(coalesce(any_covered, 0), length) - least(coalesce(covered, 0), length)) / length AS translocated,
-  (length - least(coalesce(any_covered, 0), length)) / length AS unaligned FROM ct LEFT JOIN bb ON bb.qseqid = contig LEFT JOIN aa ON aa.qseqid = contig)"""
-
-
-def reference_translocations(spark, folder):
-    hits = table(spark, folder, "matches").join(table(spark, folder, "genes").select(F.col("gene_id").alias("qseqid")), "qseqid", "left_anti")
-    return E.translocations(hits, contig_lengths(spark, folder))
-
-
 @query("translocations", f"WITH {TRANS} SELECT contig, length, partner, round(matched, 9) AS matched, round(translocated, 9) AS translocated, round(unaligned, 9) AS unaligned FROM tl")
 def translocations(spark, folder):
     return rounded(reference_translocations(spark, folder), "matched", "translocated", "unaligned")
@@ -266,36 +274,110 @@ def translocations(spark, folder):
 
 @query(
     "translocation_totals",
-    f"""WITH {TRANS} SELECT right(contig, 3) AS grp, count(*) FILTER (matched > 0) AS n_matched, round(count(*) FILTER (matched > 0 AND translocated > 0) / nullif(count(*) FILTER (matched > 0), 0), 9) AS translocated_records,
-round(sum(matched * length) / sum(length), 9) AS matched, round(sum(translocated * length) / sum(length), 9) AS translocated, round(sum(unaligned * length) / sum(length), 9) AS unaligned FROM tl GROUP BY 1""",
+    f"""WITH {TRANS}, tt AS (SELECT tool, tl.* FROM (SELECT DISTINCT tool, plasmid_id FROM eval_refs) JOIN tl ON contig = plasmid_id)
+SELECT tool, count(*) FILTER (matched > 0) AS n_matched, round(count(*) FILTER (matched > 0 AND translocated > 0) / nullif(count(*) FILTER (matched > 0), 0), 9) AS translocated_records,
+round(sum(matched * length) / sum(length), 9) AS matched, round(sum(translocated * length) / sum(length), 9) AS translocated, round(sum(unaligned * length) / sum(length), 9) AS unaligned FROM tt GROUP BY 1""",
 )
 def translocation_totals(spark, folder):
-    found = reference_translocations(spark, folder).withColumn("grp", F.right("contig", F.lit(3)))
-    return rounded(E.translocation_totals(found, ["grp"]), "translocated_records", "matched", "translocated", "unaligned")
+    tools = table(spark, folder, "eval_refs").select("tool", F.col("plasmid_id").alias("contig")).distinct()
+    found = reference_translocations(spark, folder).join(tools, "contig")
+    return rounded(E.translocation_totals(found, ["tool"]), "translocated_records", "matched", "translocated", "unaligned")
+
+
+#: Binning factors: contigs of a sample are one bin if their GC falls into the same class of so many hundredths; 0 keeps each alone.
+FACTORS = (0, 2, 10)
+BIN_KEYS = f"""gcs AS (SELECT contig, sample_id, gc FROM (SELECT {{acc}} AS contig, min(sample_id) AS sample_id, max((length(seq) - length(regexp_replace(seq, '[GgCc]', '', 'g'))) / length(seq)) AS gc
+  FROM df_references WHERE regexp_matches(id, '(?i)NZ[^A-Za-z0-9]?PL[0-9]+\\.[0-9]+') AND length(seq) > 0 GROUP BY 1) WHERE contig IN (SELECT contig FROM ct)),
+bn AS (SELECT contig, factor, CASE WHEN factor = 0 OR sample_id IS NULL THEN contig ELSE 'bin_' || sample_id || '_' || CAST(floor(gc * 100 / factor) AS BIGINT) END AS bin FROM gcs, (VALUES (0), (2), (10)) f(factor))"""
+
+
+def bin_members(spark, folder, factor: int):
+    """(contig, bin): received sequences of a sample by classes of GC."""
+    rows = table(spark, folder, "df_references").select(S.accession_in("id").alias("contig"), "sample_id", "seq").filter("contig is not null and length(seq) > 0")
+    facts = rows.groupBy("contig").agg(F.min("sample_id").alias("sample_id"), F.max(S.gc_fraction("seq")).alias("gc")).join(contig_lengths(spark, folder), "contig", "left_semi")
+    if not factor:
+        return facts.select("contig", F.col("contig").alias("bin"))
+    cls = F.floor(F.col("gc") * 100 / factor).cast("bigint").cast("string")
+    return facts.select("contig", F.coalesce(F.concat(F.lit("bin_"), F.col("sample_id").cast("string"), F.lit("_"), cls), F.col("contig")).alias("bin"))
+
+
+def binned_translocations(spark, folder):
+    """(factor, contig, ...): each record against the bins of its partners, its own hits left out."""
+    hits = table(spark, folder, "matches").join(table(spark, folder, "genes").select(F.col("gene_id").alias("qseqid")), "qseqid", "left_anti").filter("qseqid <> sseqid")
+    lengths = contig_lengths(spark, folder)
+    return E.united(*[E.translocations(E.binned(hits, bin_members(spark, folder, k)), lengths).withColumn("factor", F.lit(k)) for k in FACTORS])
+
+
+BINNED = f"""{CONTIGS}, {BIN_KEYS.format(acc=ACC)},
+mb AS (SELECT factor, qseqid, bin AS sseqid, qstart, qend FROM matches m JOIN bn ON bn.contig = m.sseqid WHERE qseqid <> m.sseqid AND qseqid <> bin AND qseqid NOT IN (SELECT gene_id FROM genes)),
+pp AS (WITH {covered_sql('mb', 'factor, qseqid, sseqid', 'qstart', 'qend')} SELECT * FROM cov), aa AS (WITH {covered_sql('mb', 'factor, qseqid', 'qstart', 'qend')} SELECT factor, qseqid, covered AS any_covered FROM cov),
+bb AS (SELECT factor, qseqid, sseqid AS partner, covered FROM (SELECT *, row_number() OVER (PARTITION BY factor, qseqid ORDER BY covered DESC, sseqid) AS k FROM pp) WHERE k = 1),
+tb AS (SELECT f.factor, contig, length, partner, least(coalesce(covered, 0), length) / length AS matched, (least(coalesce(any_covered, 0), length) - least(coalesce(covered, 0), length)) / length AS translocated,
+  (length - least(coalesce(any_covered, 0), length)) / length AS unaligned FROM ct CROSS JOIN (VALUES (0), (2), (10)) f(factor)
+  LEFT JOIN bb ON bb.qseqid = contig AND bb.factor = f.factor LEFT JOIN aa ON aa.qseqid = contig AND aa.factor = f.factor)"""
+
+
+@query("bin_translocations", f"WITH {BINNED} SELECT factor, contig, length, partner, round(matched, 9) AS matched, round(translocated, 9) AS translocated, round(unaligned, 9) AS unaligned FROM tb")
+def bin_translocations(spark, folder):
+    return rounded(binned_translocations(spark, folder), "matched", "translocated", "unaligned")
+
+
+def factor_totals_sql(keys: str, source: str) -> str:
+    return f"""SELECT {keys}, sum(matched * length) / sum(length) AS m, sum(translocated * length) / sum(length) AS t FROM {source} GROUP BY {keys}"""
 
 
 @query(
-    "sampling_levels",
-    """WITH n AS (SELECT tool, CAST(count(*) AS INTEGER) AS n FROM eval_refs GROUP BY 1), l AS (SELECT tool, n, unnest(list_distinct(list_concat(generate_series(0, n, 20), [n]))) AS level FROM n)
-SELECT tool, CAST(level AS INTEGER) AS level, CASE WHEN level = 0 OR level = n THEN 1 ELSE 3 END AS repetitions FROM l""",
+    "bin_scores",
+    f"""WITH {BINNED}, rt AS ({factor_totals_sql('factor', 'tb')}), tp AS (SELECT factor, tb.* EXCLUDE (factor) FROM tb WHERE contig IN (SELECT plasmid_id FROM eval_refs)), pt AS ({factor_totals_sql('factor', 'tp')})
+SELECT factor, evaluation, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1
+FROM (SELECT rt.factor, e.evaluation, e.p, e.r FROM rt JOIN pt USING (factor), LATERAL (SELECT 'best' AS evaluation, pt.m AS p, rt.m AS r UNION ALL SELECT 'union', pt.m + pt.t, rt.m + rt.t) e)""",
 )
-def sampling_levels(spark, folder):
-    """Steps of 20 from none to all records of a tool; only the levels between are repeated."""
-    n = table(spark, folder, "eval_refs").groupBy("tool").agg(F.count("*").cast("int").alias("n"))
-    steps = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("n"), F.lit(20)), F.array("n")))
-    return n.select("tool", "n", F.explode(steps).alias("level")).select("tool", "level", F.when((F.col("level") == 0) | (F.col("level") == F.col("n")), 1).otherwise(3).alias("repetitions"))
+def bin_scores(spark, folder):
+    """Best and union scores for each binning factor, from the totals of all records and of those that a tool scores."""
+    found = binned_translocations(spark, folder)
+    scored = found.join(table(spark, folder, "eval_refs").select(F.col("plasmid_id").alias("contig")).distinct(), "contig", "left_semi")
+    return rounded(E.scores_from_totals(E.translocation_totals(found, ["factor"]), E.translocation_totals(scored, ["factor"]), ["factor"]), "precision", "recall", "f1")
 
 
 @query(
-    "genome_similarity",
-    """SELECT CASE WHEN s.plasmids IS NULL OR trim(s.plasmids) = '' THEN 'unlisted' ELSE 'listed' END AS grp, round(avg(length), 6) AS mean, round(quantile_cont(CAST(length AS DOUBLE), 0.75), 6) AS q75, max(length) AS maximum
-FROM eval_refs JOIN samples s USING (sample_id) GROUP BY 1""",
+    "level_scores",
+    """WITH o AS (SELECT tool, length, length * coalesce(union_recall, 0) AS lr, row_number() OVER w AS level, count(*) OVER (PARTITION BY tool) AS n, sum(length * coalesce(union_recall, 0)) OVER w AS r, sum(length) OVER w AS l
+  FROM eval_refs WINDOW w AS (PARTITION BY tool ORDER BY plasmid_id, sample_id, length, union_recall, best_recall NULLS FIRST, scored_at NULLS FIRST ROWS UNBOUNDED PRECEDING))
+SELECT tool, CAST(level AS INTEGER) AS level, CASE WHEN level = n THEN 1 ELSE 3 END AS repetitions, round(r / l, 9) AS recall FROM o WHERE level % 20 = 0 OR level = n
+UNION ALL SELECT DISTINCT tool, 0, 1, 0.0 FROM eval_refs""",
 )
-def genome_similarity(spark, folder):
-    joined = table(spark, folder, "eval_refs").join(table(spark, folder, "samples").select("sample_id", "plasmids"), "sample_id")
-    grp = F.when(F.coalesce(F.trim("plasmids"), F.lit("")) == "", "unlisted").otherwise("listed")
-    found = W.distribution(joined.withColumn("grp", grp), ["grp"], "length")
-    return found.select("grp", F.round("mean", 6).alias("mean"), F.round("q75", 6).alias("q75"), "maximum")
+def level_scores(spark, folder):
+    """Recall over a growing number of a tool's references, in steps of 20."""
+    return rounded(E.level_scores(table(spark, folder, "eval_refs"), ["plasmid_id", "sample_id", "length", "union_recall", "best_recall", "scored_at"]), "recall")
+
+
+@query(
+    "plasmid_alignments",
+    f"""WITH {CONTIGS}, sm AS (SELECT {ACC} AS contig, min(sample_id) AS sample_id FROM df_references WHERE regexp_matches(id, '(?i)NZ[^A-Za-z0-9]?PL[0-9]+\\.[0-9]+') GROUP BY 1),
+cs AS (SELECT contig, ct.length, sample_id FROM ct JOIN sm USING (contig) WHERE sample_id IS NOT NULL), mean AS (SELECT sample_id, avg(length) AS mean_length FROM cs GROUP BY 1),
+big AS (SELECT a.sample_id, max(m.length) AS largest FROM matches m JOIN cs a ON a.contig = qseqid JOIN cs b ON b.contig = sseqid WHERE a.sample_id <> b.sample_id GROUP BY 1)
+SELECT sample_id, round(mean_length, 6) AS mean_length, coalesce(largest, 0) AS largest, round(coalesce(largest, 0) / mean_length, 9) AS share FROM mean LEFT JOIN big USING (sample_id)""",
+)
+def plasmid_alignments(spark, folder):
+    """Per sample: the largest alignment of its references with those of other samples, against their mean length."""
+    rows = table(spark, folder, "df_references").select(S.accession_in("id").alias("contig"), "sample_id").filter("contig is not null")
+    of = contig_lengths(spark, folder).join(rows.groupBy("contig").agg(F.min("sample_id").alias("sample_id")), "contig").filter("sample_id is not null")
+    return rounded(E.largest_alignments(table(spark, folder, "matches"), of), "mean_length", "share").withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query(
+    "species_databases",
+    f"""WITH {SPECIES}, n AS (SELECT species, count(*) AS n_database FROM df_references JOIN sp USING (sample_id) WHERE release_date < '2022-06-15' GROUP BY 1),
+r AS (SELECT species, tool, sum(length * coalesce(union_recall, 0)) / sum(length) AS recall FROM eval_refs JOIN sp USING (sample_id) GROUP BY 1, 2)
+SELECT species, tool, coalesce(n_database, 0) AS n_database, round(recall, 9) AS recall FROM r LEFT JOIN n USING (species)""",
+)
+def species_databases(spark, folder):
+    """Each species' number of references released in time, 0 if none, beside each tool's recall on it."""
+    names = table(spark, folder, "samples").filter("organism is not null").select("sample_id", S.species(F.lower("organism")).alias("species"))
+    n = table(spark, folder, "df_references").filter("release_date < '2022-06-15'").join(names, "sample_id").groupBy("species").agg(F.count("*").alias("n_database"))
+    recall = (F.sum(F.col("length") * F.coalesce("union_recall", F.lit(0.0))) / F.sum("length")).alias("recall")
+    found = table(spark, folder, "eval_refs").join(names, "sample_id").groupBy("species", "tool").agg(recall).join(n, "species", "left")
+    return rounded(found.select("species", "tool", F.coalesce("n_database", F.lit(0)).alias("n_database"), "recall"), "recall")
 
 
 @query(
@@ -320,3 +402,44 @@ def threshold_sweep(spark, folder):
     """Well found references under three thresholds."""
     refs = table(spark, folder, "eval_refs")
     return E.sweep_table({name: E.one_way(refs, t) for name, t in (("low", 0.5), ("middle", 0.8), ("high", 0.95))}, ["tool"], ["n_best"])
+
+
+@query(
+    "sampling_levels",
+    """WITH n AS (SELECT tool, CAST(count(*) AS INTEGER) AS n FROM eval_refs GROUP BY 1), l AS (SELECT tool, n, unnest(list_distinct(list_concat(generate_series(0, n, 20), [n]))) AS level FROM n)
+SELECT tool, CAST(level AS INTEGER) AS level, CASE WHEN level = 0 OR level = n THEN 1 ELSE 3 END AS repetitions FROM l""",
+)
+def sampling_levels(spark, folder):
+    """Steps of 20 from none to all records of a tool; only the levels between are repeated."""
+    return level_scores(spark, folder).select("tool", "level", "repetitions")
+
+
+LISTED = "CASE WHEN s.plasmids IS NULL OR trim(s.plasmids) = '' THEN 'unlisted' ELSE 'listed' END"
+
+
+def listed_group(spark, folder, rows):
+    """Rows with ``grp``: whether their sample lists any plasmids."""
+    grp = F.when(F.coalesce(F.trim("plasmids"), F.lit("")) == "", "unlisted").otherwise("listed")
+    return rows.join(table(spark, folder, "samples").select("sample_id", grp.alias("grp")), "sample_id")
+
+
+@query(
+    "reference_lengths",
+    f"""SELECT {LISTED} AS grp, round(avg(length), 6) AS mean, round(quantile_cont(CAST(length AS DOUBLE), 0.75), 6) AS q75, max(length) AS maximum
+FROM eval_refs JOIN samples s USING (sample_id) GROUP BY 1""",
+)
+def reference_lengths(spark, folder):
+    found = W.distribution(listed_group(spark, folder, table(spark, folder, "eval_refs")), ["grp"], "length")
+    return found.select("grp", F.round("mean", 6).alias("mean"), F.round("q75", 6).alias("q75"), "maximum")
+
+
+@query(
+    "genome_similarity",
+    f"""WITH pa AS ({SQL["plasmid_alignments"]})
+SELECT {LISTED} AS grp, min(largest) AS minimum, round(avg(largest), 6) AS mean, round(quantile_cont(CAST(largest AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(largest AS DOUBLE), 0.75), 6) AS q75, max(largest) AS maximum
+FROM pa JOIN samples s USING (sample_id) GROUP BY 1""",
+)
+def genome_similarity(spark, folder):
+    """How long the largest alignments with other samples are, for samples that list plasmids and for the others."""
+    found = W.distribution(listed_group(spark, folder, plasmid_alignments(spark, folder)), ["grp"], "largest")
+    return found.select("grp", "minimum", *[F.round(c, 6).alias(c) for c in ("mean", "median", "q75")], "maximum")

@@ -173,26 +173,28 @@ sp AS (SELECT sample_id, max(dm) AS dm, max(gm) AS gm, sqrt(sum((density - dm) *
 ed AS (SELECT sample_id, from_seg AS src, from_ori AS ori FROM links UNION ALL SELECT sample_id, to_seg, CASE WHEN to_ori = '+' THEN '-' ELSE '+' END FROM links),
 wy AS (SELECT sample_id, src AS seg_name, count(*) FILTER (ori = '+') AS o, count(*) FILTER (ori = '-') AS i FROM ed GROUP BY 1, 2),
 rk AS (SELECT ab.*, (density - dm) / CASE WHEN ds < 1e-7 THEN 1 ELSE ds END + (gd - gm) / CASE WHEN gs < 1e-7 THEN 1 ELSE gs END AS z, coalesce(o, 0) <= 1 AND coalesce(i, 0) <= 1 AS unambiguous FROM ab JOIN sp USING (sample_id) LEFT JOIN wy USING (sample_id, seg_name))
-SELECT sample_id, seg_name, unambiguous, round(z, 4) AS z FROM rk""",
+SELECT sample_id, seg_name, unambiguous, round(z, 4) AS z, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY unambiguous DESC, round(z, 9) DESC, seg_name DESC) AS INTEGER) AS place FROM rk""",
 )
 def seed_order(spark, folder):
     found = G.seeds(*graph(spark, folder), segment_densities(spark, folder), min_depth=0.3, min_density=0.1, max_length=800)
-    return found.select("sample_id", "seg_name", "unambiguous", F.round("z", 4).alias("z"))
+    return found.select("sample_id", "seg_name", "unambiguous", F.round("z", 4).alias("z"), "place")
 
 
 @query(
     "extension_scores",
-    f"""WITH {NORMAL}, l AS (SELECT row_number() OVER () AS n, * FROM links)
-SELECT sample_id, from_seg, to_seg, round(abs(1 - b.depth / a.depth) + 0.5 * 1 + 0.25 * abs(a.gc - b.gc), 6) AS score
-FROM l JOIN ns a USING (sample_id) JOIN ns b USING (sample_id) WHERE a.seg_name = from_seg AND b.seg_name = to_seg AND a.depth > 0 AND b.depth IS NOT NULL""",
+    f"""WITH {NORMAL}, {SEG_DENS}, l AS (SELECT row_number() OVER () AS n, * FROM links)
+SELECT l.sample_id, from_seg, to_seg, round(abs(1 - b.depth / a.depth) + 0.5 * (1 - coalesce(density, 0)) + 0.25 * abs(a.gc - b.gc), 6) AS score
+FROM l JOIN ns a ON a.sample_id = l.sample_id AND a.seg_name = from_seg JOIN ns b ON b.sample_id = l.sample_id AND b.seg_name = to_seg LEFT JOIN sd ON sd.sample_id = l.sample_id AND sd.seg_name = to_seg
+WHERE a.depth > 0 AND b.depth IS NOT NULL""",
 )
 def extension_scores(spark, folder):
-    """Score of continuing each link's first segment by its second, for segments without genes."""
+    """Score of continuing each link's first segment by its second."""
     segments, links = graph(spark, folder)
     normal = G.normal_segments(segments)
     ends = [normal.select("sample_id", *[F.col(c).alias(f"{p}_{c}") for c in ("seg_name", "depth", "gc")]) for p in ("a", "b")]
     joined = links.join(ends[0].withColumnRenamed("a_seg_name", "from_seg"), ["sample_id", "from_seg"]).join(ends[1].withColumnRenamed("b_seg_name", "to_seg"), ["sample_id", "to_seg"])
-    score = extension_score(F.col("a_depth"), F.col("a_gc"), F.col("b_depth"), F.lit(0.0), F.col("b_gc"), {"depth_diff": 1.0, "gene_density": 0.5, "gc_diff": 0.25})
+    joined = joined.join(segment_densities(spark, folder).withColumnRenamed("seg_name", "to_seg"), ["sample_id", "to_seg"], "left")
+    score = extension_score(F.col("a_depth"), F.col("a_gc"), F.col("b_depth"), F.coalesce("density", F.lit(0.0)), F.col("b_gc"), {"depth_diff": 1.0, "gene_density": 0.5, "gc_diff": 0.25})
     return joined.filter("a_depth > 0 and b_depth is not null").select("sample_id", "from_seg", "to_seg", F.round(score, 6).alias("score"))
 
 

@@ -52,11 +52,13 @@ def unknown_genes(spark, folder):
 
 @query(
     "hit_classes",
-    """SELECT gene_id, coalesce(n, 0) AS n_hits, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS hit_class
-FROM genes LEFT JOIN (SELECT qseqid, count(*) AS n FROM matches WHERE pident >= 99.5 GROUP BY 1) ON gene_id = qseqid""",
+    CLASSED + """ SELECT gene_id, coalesce(n, 0) AS n_hits, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS hit_class
+FROM genes LEFT JOIN (SELECT qseqid, count(*) AS n FROM cv WHERE verdict = 'kept' GROUP BY 1) ON gene_id = qseqid""",
 )
 def hit_classes(spark, folder):
-    return H.hit_classes(table(spark, folder, "matches").filter("pident >= 99.5"), table(spark, folder, "genes"))
+    """Genes by the number of hits that pass the filter."""
+    genes = table(spark, folder, "genes")
+    return H.hit_classes(H.classified(gene_hits(spark, folder), genes).filter("verdict = 'kept'"), genes)
 
 
 @query("unlocated_genes", CLASSED + " SELECT gene_id FROM genes WHERE gene_id NOT IN (SELECT qseqid FROM cv WHERE verdict = 'kept') AND gene_id IN (SELECT qseqid FROM gh)")
@@ -105,7 +107,7 @@ def pairwise_overlaps(spark, folder):
 
 
 GOOD_95 = GENE_HITS.replace("WHERE", "WHERE pident >= 90.0 AND")
-FRAGMENT_ENOUGH = """un AS (SELECT good.* FROM good ANTI JOIN ins USING (qseqid, qstart, qend)),
+FRAGMENT_ENOUGH = """un AS (SELECT gh.* FROM gh ANTI JOIN ins USING (qseqid, qstart, qend)),
 aj AS (SELECT un.*, length(g.seq) AS gl FROM un JOIN genes g ON g.gene_id = un.qseqid)"""
 
 
@@ -119,7 +121,7 @@ def fragments_simple(spark, folder):
     f"WITH {GOOD_95}, {CONTAINED}, {FRAGMENT_ENOUGH}, t AS (SELECT qseqid FROM aj GROUP BY 1 HAVING sum(length) >= max(gl) * 0.3) SELECT hit_id, qseqid FROM un SEMI JOIN t USING (qseqid)",
 )
 def fragments_uncontained(spark, folder):
-    return H.fragmented(gene_hits(spark, folder).filter("qend is not null"), table(spark, folder, "genes"), variant="uncontained", identity=0.90, share=0.3)
+    return H.fragmented(gene_hits(spark, folder), table(spark, folder, "genes"), variant="uncontained", identity=0.90, share=0.3)
 
 
 @query(
@@ -130,7 +132,7 @@ t AS (SELECT cov.qseqid FROM cov JOIN genes ON gene_id = cov.qseqid LEFT JOIN ov
 SELECT hit_id, qseqid FROM un SEMI JOIN t USING (qseqid)""",
 )
 def fragments_limited(spark, folder):
-    return H.fragmented(gene_hits(spark, folder).filter("qend is not null"), table(spark, folder, "genes"), variant="limited", identity=0.90, share=0.3, overlap=2000)
+    return H.fragmented(gene_hits(spark, folder), table(spark, folder, "genes"), variant="limited", identity=0.90, share=0.3, overlap=2000)
 
 
 @query(
@@ -154,15 +156,13 @@ def oriented_intervals(spark, folder):
     "ring_coverage",
     f"""WITH {GENE_HITS},
 z AS (SELECT sseqid, CAST(least(sstart, send) - 1 AS BIGINT) AS a, CAST(greatest(sstart, send) - 1 AS BIGINT) AS b FROM gh WHERE sstart IS NOT NULL AND send IS NOT NULL),
-w AS (SELECT sseqid, a, b FROM z WHERE b < 400 UNION ALL SELECT sseqid, a, 399 FROM z WHERE a < 400 AND b >= 400 UNION ALL SELECT sseqid, 0, b % 400 FROM z WHERE a < 400 AND b >= 400
-      UNION ALL SELECT sseqid, a % 400, b % 400 FROM z WHERE a >= 400 AND a % 400 <= b % 400),
+r AS (SELECT sseqid, a % 400 AS a, b % 400 AS b, b - a + 1 >= 400 AS whole FROM z),
+w AS (SELECT sseqid, 0 AS a, 399 AS b FROM r WHERE whole UNION ALL SELECT sseqid, a, b FROM r WHERE NOT whole AND a <= b
+      UNION ALL SELECT sseqid, a, 399 FROM r WHERE NOT whole AND a > b UNION ALL SELECT sseqid, 0, b FROM r WHERE NOT whole AND a > b),
 {covered_sql('w', 'sseqid', 'a', 'b')} SELECT sseqid, covered FROM cov""",
 )
 def ring_coverage(spark, folder):
-    """Coverage of contigs laid around a ring of 400 positions.
-
-    The SQL leaves out pieces that cross a later end of the ring, and cuts those longer than it short; so results differ.
-    """
+    """Coverage of contigs laid around a ring of 400 positions; pieces that cross an end of the ring go on at its start."""
     from ringweave.functions.sequences import wrapped
 
     hits = gene_hits(spark, folder).filter("sstart is not null and send is not null")

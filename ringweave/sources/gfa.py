@@ -12,13 +12,16 @@ from ringweave.functions.sequences import gc_fraction, overlap_length
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, ord, parts): lines in file order."""
-    rows = spark.read.text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.(gfa|txt)(\.\w+)?$", "").alias("sample_id"), F.monotonically_increasing_id().alias("ord"), "value")
-    return rows.select("sample_id", "ord", F.split(F.rtrim("value"), "\t").alias("parts"))
+    """(sample_id, ord, parts): ord follows a file's lines; the name is that of the file, or of a folder sample_id=name."""
+    folder = F.regexp_extract("_metadata.file_path", r"/sample_id=([^/]+)/", 1)
+    name = F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.(gfa|txt)(\.\w+)?$", ""))
+    # Lines of one part of a file are numbered in order; parts are in the order of their places.
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(name.alias("sample_id"), order.alias("ord"), F.split(F.rtrim("value"), "\t").alias("parts"))
 
 
 def _tag(name: str, first: int, kind: str) -> Column:
-    found = F.filter(F.slice("parts", first, 99), lambda p: p.startswith(f"{name}:"))
+    found = F.filter("parts", lambda p, i: (i >= first - 1) & p.startswith(f"{name}:"))
     return F.try_element_at(F.split(F.try_element_at(found, F.lit(1)), ":"), F.lit(3)).try_cast(kind)
 
 

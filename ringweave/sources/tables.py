@@ -11,7 +11,7 @@ HITS = (
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """BLAST outfmt 6 without header, with hit_id: unique, and ascending in a file's order."""
+    """BLAST outfmt 6 without header, with hit_id: unique, and ascending inside each part of a file that one task reads."""
     return spark.read.csv(path, sep="\t", schema=HITS, nullValue="NA").withColumn("hit_id", F.monotonically_increasing_id())
 
 

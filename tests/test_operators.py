@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,28 @@ def test_pieces_behind_the_first_lap(spark):
         pieces = [(r.start, r.end) for r in got if (r.a, r.b) == (a, b)]
         assert all(0 <= x <= y < 10 for x, y in pieces)
         assert {p for x, y in pieces for p in range(x, y + 1)} == {p % 10 for p in range(a, b + 1)}
+
+
+def test_quantiles_and_places(spark):
+    rng = random.Random(12)
+    data = [(rng.choice("ab"), rng.choice([None, 0.0, -1.5, 3.0, rng.random() * 1000, -rng.random()]), i) for i in range(300)] + [("one", 4.0, 1)]
+    df = spark.createDataFrame(data, "k string, v double, i int")
+    got = {r.k: (r.a, r.b) for r in W.quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5}).collect()}
+    for k in ("a", "b", "one"):
+        values = np.array([v for x, v, _ in data if x == k and v is not None])
+        assert got[k] == pytest.approx((np.quantile(values, 0.25), np.quantile(values, 0.5)))
+    known = df.filter("v is not null")
+    placed = {(r.k, r.i): r.place for r in W.places(known, ["k"], "v", F.desc("i")).collect()}
+    expected = {(k, i): n + 1 for k in ("a", "b", "one") for n, (_, i) in enumerate(sorted([(v, i) for x, v, i in data if x == k and v is not None], key=lambda x: (x[0], -x[1])))}
+    assert placed == expected
+
+
+def test_levels_of_scores_and_bins(spark):
+    refs = spark.createDataFrame([("t", f"p{i:02}", 10, 1.0 if i % 2 else None) for i in range(7)], "tool string, plasmid_id string, length int, union_recall double")
+    got = {(r.level, r.repetitions): r.recall for r in E.level_scores(refs, ["plasmid_id"], 3).collect()}
+    assert got == {(0, 1): 0.0, (3, 3): pytest.approx(1 / 3), (6, 3): 0.5, (7, 1): pytest.approx(3 / 7)}
+    hits = spark.createDataFrame([("q", "x", 1, 10), ("q", "y", 8, 20), ("q", "z", 40, 45)], "qseqid string, sseqid string, qstart int, qend int")
+    members = spark.createDataFrame([("x", "b1"), ("y", "b1"), ("z", "b2")], "contig string, bin string")
+    lengths = spark.createDataFrame([("q", 100)], "contig string, length int")
+    row = E.translocations(E.binned(hits, members), lengths).first()
+    assert (row.partner, row.matched, row.translocated, row.unaligned) == ("b1", 0.2, 0.06, 0.74)

@@ -64,3 +64,10 @@ def test_pairs_and_sides(spark):
         ("g", "s", "q", "period", 1, 5), ("g", "s", "q", "gap", 6, 7), ("g", "s", "q", "period", 8, 9), ("g", "s", "s", "period", 20, 30), ("g", "g", "q", "period", 2, 2), ("g", "g", "s", "period", 7, 7)
     }
     assert [f.dataType.simpleString() for f in pair_stretches(df).schema][-2:] == ["int", "int"]
+
+
+def test_more_hot_entities_than_are_sent(spark, monkeypatch):
+    from ringweave.operators import sweep
+
+    monkeypatch.setattr(sweep, "MOST_SENT", 0)
+    assert found(spark, sample(), hot_rows=5, block=16) == brute(sample())
