@@ -52,6 +52,13 @@ def covered_bases(hits: DataFrame, key: str, start: str, end: str, name: str = "
     return found.groupBy(key).agg(F.sum(F.col("pos_to") - F.col("pos_from") + 1).alias(name))
 
 
+def covered_sides(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ``q_covered``, ``s_covered``: positions that hits cover on the query and on the subject."""
+    found = periods_and_gaps(hits, keys, {"q": ("qstart", "qend"), "s": ("sstart", "send")}).filter("kind = 'period'")
+    n = lambda side: F.sum(F.when(F.col("side") == side, F.col("pos_to") - F.col("pos_from") + 1)).alias(f"{side}_covered")
+    return found.groupBy(*keys).agg(n("q"), n("s"))
+
+
 def densities(hits: DataFrame, contigs: DataFrame, contig: str = "contig", length: str = "length") -> DataFrame:
     """Per contig: number of hits, of different locations, of genes, covered bases, density and frequency; 0 without hits."""
     counts = hits.groupBy(F.col("sseqid").alias(contig)).agg(
@@ -113,8 +120,8 @@ def fragmented(hits: DataFrame, genes: DataFrame, *, variant: str = "limited", i
     return good.join(enough.select("qseqid"), "qseqid", "left_semi").select("hit_id", "qseqid")
 
 
-def with_fragments(hits: DataFrame, genes: DataFrame, **how: float) -> DataFrame:
-    """Kept hits, and the fragments of genes that no hit locates by itself but some hit touches."""
-    kept = classified(hits, genes, **how).filter("verdict = 'kept'")
+def with_fragments(hits: DataFrame, genes: DataFrame, *, identity: float = 0.95, share: float = 0.95, **how: object) -> DataFrame:
+    """Kept hits, and the fragments of genes that no hit locates by itself but some hit touches. how: see ``fragmented``."""
+    kept = classified(hits, genes, identity=identity, share=share).filter("verdict = 'kept'")
     candidates = hits.join(unlocated(kept, hits, genes), F.col("qseqid") == F.col("gene_id"), "left_semi")
-    return kept.select("hit_id", "qseqid").unionByName(fragmented(candidates, genes, **how)).distinct()
+    return kept.select("hit_id", "qseqid").unionByName(fragmented(candidates, genes, identity=identity, share=share, **how)).distinct()

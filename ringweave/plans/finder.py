@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ringweave.operators import finder as P
 from ringweave.plans.catalog import query
-from ringweave.plans.graphs import NORMAL, graph, segment_densities
+from ringweave.plans.graphs import graph, segment_densities
 from ringweave.plans.tables import table
 from ringweave.session import Scratch
-from ringweave.sources import gfa, sequences, tables
 
 RULES = P.Growth()
 
@@ -42,9 +41,6 @@ def plasmid_chains(spark, folder):
 
 
 
-
-
-
 @query("plasmid_bins")
 def plasmid_bins(spark, folder):
     return P.bins(P.facts(members(spark, folder), *graph(spark, folder), densities(spark, folder)), table(spark, folder, "segments"))
@@ -53,30 +49,3 @@ def plasmid_bins(spark, folder):
 @query("unused_segments")
 def unused_segments(spark, folder):
     return P.unused_statistics(table(spark, folder, "segments"), members(spark, folder))
-
-
-@query("gfa_segments", f"WITH {NORMAL} SELECT CAST(sample_id AS VARCHAR) AS sample_id, seg_name, seq, length, kmer_count, round(depth, 6) AS depth, round(gc, 6) AS gc FROM ns")
-def gfa_segments(spark, folder):
-    """The segments written as GFA files, one for each sample, and read back."""
-    path = f"{Scratch(spark, 'gfa').base}/files"
-    gfa.segment_lines(table(spark, folder, "segments")).write.partitionBy("sample_id").text(path)
-    rows = spark.read.text(path).select(F.col("sample_id").cast("string").alias("sample_id"), F.monotonically_increasing_id().alias("ord"), F.split("value", "\t").alias("parts"))
-    found = gfa.segments(rows)
-    return found.select("sample_id", "seg_name", "seq", "length", "kmer_count", F.round("depth", 6).alias("depth"), F.round("gc", 6).alias("gc"))
-
-
-@query("fasta_genes", "SELECT gene_id AS id, seq FROM genes UNION ALL SELECT 'ref_' || ref_no, regexp_replace(seq, '\\s', '', 'g') FROM df_references WHERE seq IS NOT NULL")
-def fasta_genes(spark, folder):
-    """Genes and references written as FASTA and read back."""
-    path = f"{Scratch(spark, 'fasta').base}/files"
-    refs = table(spark, folder, "df_references").filter("seq is not null").select(F.concat(F.lit("ref_"), F.col("ref_no").cast("string")).alias("id"), "seq")
-    sequences.write_fasta(table(spark, folder, "genes").select(F.col("gene_id").alias("id"), "seq").unionByName(refs), path, head="id", seq="seq")
-    return sequences.read_fasta(spark, path).select("id", "seq")
-
-
-@query("hit_files", "SELECT qseqid, sseqid, pident, length, mismatch, gapopen, qstart, qend, sstart, send, evalue, bitscore FROM matches")
-def hit_files(spark, folder):
-    """The hit table written without header and read back."""
-    path = f"{Scratch(spark, 'hits').base}/files"
-    tables.write_hits(table(spark, folder, "matches"), path)
-    return tables.read_hits(spark, path).drop("hit_id")

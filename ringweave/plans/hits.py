@@ -40,6 +40,11 @@ cl AS (SELECT gh.*, CAST(length(g.seq) AS INTEGER) AS gene_length FROM gh JOIN g
 cv AS (SELECT *, CASE WHEN coalesce(pident, 0) < 95.0 THEN 'identity' WHEN coalesce(length, 0) / gene_length < 0.95 THEN 'length' ELSE 'kept' END AS verdict FROM cl)"""
 
 
+#: The given hits are much shorter than their genes; with this share some pass and others do not.
+SHORT = 0.3
+CLASSED_SHORT = CLASSED.replace("/ gene_length < 0.95", f"/ gene_length < {SHORT}")
+
+
 @query("filter_hits", CLASSED + " SELECT hit_id, qseqid, sseqid, verdict FROM cv")
 def filter_hits(spark, folder):
     return H.classified(gene_hits(spark, folder), table(spark, folder, "genes")).select("hit_id", "qseqid", "sseqid", "verdict")
@@ -52,19 +57,19 @@ def unknown_genes(spark, folder):
 
 @query(
     "hit_classes",
-    CLASSED + """ SELECT gene_id, coalesce(n, 0) AS n_hits, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS hit_class
+    CLASSED_SHORT + """ SELECT gene_id, coalesce(n, 0) AS n_hits, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS hit_class
 FROM genes LEFT JOIN (SELECT qseqid, count(*) AS n FROM cv WHERE verdict = 'kept' GROUP BY 1) ON gene_id = qseqid""",
 )
 def hit_classes(spark, folder):
     """Genes by the number of hits that pass the filter."""
     genes = table(spark, folder, "genes")
-    return H.hit_classes(H.classified(gene_hits(spark, folder), genes).filter("verdict = 'kept'"), genes)
+    return H.hit_classes(H.classified(gene_hits(spark, folder), genes, share=SHORT).filter("verdict = 'kept'"), genes)
 
 
-@query("unlocated_genes", CLASSED + " SELECT gene_id FROM genes WHERE gene_id NOT IN (SELECT qseqid FROM cv WHERE verdict = 'kept') AND gene_id IN (SELECT qseqid FROM gh)")
+@query("unlocated_genes", CLASSED_SHORT + " SELECT gene_id FROM genes WHERE gene_id NOT IN (SELECT qseqid FROM cv WHERE verdict = 'kept') AND gene_id IN (SELECT qseqid FROM gh)")
 def unlocated_genes(spark, folder):
     hits, genes = gene_hits(spark, folder), table(spark, folder, "genes")
-    return H.unlocated(H.classified(hits, genes).filter("verdict = 'kept'"), hits, genes)
+    return H.unlocated(H.classified(hits, genes, share=SHORT).filter("verdict = 'kept'"), hits, genes)
 
 
 @query("covered_bases", f"WITH {GENE_HITS}, {covered_sql('gh', 'sseqid', 'sstart', 'send')} SELECT sseqid, covered FROM cov")

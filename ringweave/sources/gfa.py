@@ -70,5 +70,6 @@ def segment_lines(df: DataFrame) -> DataFrame:
     return df.select("sample_id", F.concat_ws("\t", F.lit("S"), "seg_name", "seq", tag("LN:i", "length"), tag("KC:i", "kmer_count"), tag("dp:f", "depth")).alias("value"))
 
 
-def link_lines(df: DataFrame) -> DataFrame:
-    return df.select("sample_id", F.concat_ws("\t", F.lit("L"), "from_seg", "from_ori", "to_seg", "to_ori", F.coalesce("overlap", F.lit("*"))).alias("value"))
+def link_lines(df: DataFrame, *tags: Column) -> DataFrame:
+    """L lines of links; tags: further fields such as 'MQ:i:60', null where a link has none."""
+    return df.select("sample_id", F.concat_ws("\t", F.lit("L"), "from_seg", "from_ori", "to_seg", "to_ori", F.coalesce("overlap", F.lit("*")), *tags).alias("value"))

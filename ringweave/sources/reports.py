@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringweave.session import union_all
+from ringweave.sources.files import file_label
 
 # The headings of a report's sections, and the section's name.
 SECTIONS = {
@@ -21,12 +22,6 @@ SECTIONS = {
 }
 
 
-def file_label() -> Column:
-    """A file's name, behind that of its folder where the folder has one of the kind key=value."""
-    folders = F.regexp_replace(F.array_join(F.regexp_extract_all("_metadata.file_path", F.lit(r"/[^/=]+=([^/]*)"), F.lit(1)), "/"), "%20", " ")
-    return F.when(folders != "", folders).otherwise(F.col("_metadata.file_name"))
-
-
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """(file, section, row, line): the lines of each section, numbered from 1, up to the end of the first summary."""
     rows = spark.read.text(path, wholetext=True).select(file_label().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
@@ -125,7 +120,7 @@ def report_lines(refs: DataFrame, preds: DataFrame, covers: DataFrame, by: list[
     prediction, recall, precision of pairs with any overlap. The matrices have a column for each plasmid of such a pair.
     """
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    number = lambda c: F.format_number(F.coalesce(c, F.lit(0.0)), "0.000000")
+    number = lambda c: F.format_string("%.6f", F.coalesce(c, F.lit(0.0)))
     told = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda x: x.text), "\n")
     name = lambda c: F.col(c).alias("key")
 

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringweave.functions.sequences import COMPLEMENTS, LETTERS
+from ringweave.session import Scratch
+from ringweave.sources.files import file_label
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, id, description, seq); the id ends at the first blank. Records are split at '>', which starts a line."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^>", "").alias("value"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(file_label().alias("file"), F.regexp_replace("value", "^>", "").alias("value"))
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     rows = raw.filter("trim(value) <> ''").select("file", F.element_at(lines, 1).alias("head"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "").alias("seq"))
     return rows.select("file", F.regexp_extract("head", r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace("head", r"^\S*", "")).alias("description"), F.regexp_replace("seq", r"\s", "").alias("seq"))
@@ -22,7 +24,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def record_counts(spark: SparkSession, path: str) -> DataFrame:
     """(file, n): lines that start a record."""
-    return spark.read.text(path).filter("value like '>%'").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    return spark.read.text(path).filter("value like '>%'").groupBy(file_label().alias("file")).agg(F.count("*").alias("n"))
 
 
 def component_counts(records: DataFrame) -> DataFrame:
@@ -30,9 +32,18 @@ def component_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("file").agg(F.count_distinct(F.substring_index("id", "component_", -1)).alias("n"))
 
 
-def write_fasta(df: DataFrame, path: str, *, head: str, seq: str, append: bool = False) -> None:
-    """One record for each row: a column with the definition line, and one with the sequence."""
-    df.select(F.concat(F.lit(">"), F.col(head), F.lit("\n"), F.col(seq))).write.mode("append" if append else "overwrite").text(path)
+def write_fasta(df: DataFrame, path: str, *, head: str, seq: str, append: bool = False, by: list[str] = ()) -> None:
+    """One record for each row: a column with the definition line, and one with the sequence. by: a folder for each value."""
+    lines = df.select(*by, F.concat(F.lit(">"), F.col(head), F.lit("\n"), F.col(seq)).alias("value"))
+    writer = lines.write.mode("append" if append else "overwrite")
+    (writer.partitionBy(*by) if by else writer).text(path)
+
+
+def extend_fasta(spark: SparkSession, df: DataFrame, path: str, *, head: str, seq: str) -> None:
+    """Adds the sequences that the files do not have yet, each once under the smallest of its definition lines."""
+    known = read_fasta(spark, path).select("seq").distinct()
+    new = df.select(F.col(head).alias("head"), F.col(seq).alias("seq")).groupBy("seq").agg(F.min("head").alias("head")).join(known, "seq", "left_anti")
+    write_fasta(Scratch(spark, "extension").write(new, "new"), path, head="head", seq="seq", append=True)
 
 
 GENE = re.compile(r"^ {5}(\S+) +(\S.*)$")
@@ -88,5 +99,5 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     gene_id is the locus tag, else gene<number>_<name>, else null; sequences are on the gene's strand. A record without
     genes has one row with its whole sequence and no gene_no; an undefined sequence is null.
     """
-    raw = spark.read.option("lineSep", "\n//").text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
+    raw = spark.read.option("lineSep", "\n//").text(path).select(file_label().alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
     return raw.filter("value like '%LOCUS%'").mapInPandas(_records, GENBANK)
