@@ -71,13 +71,15 @@ def wrapped(start: Column, end: Column, length: Column) -> Column:
     )
 
 
+def step_score(ratio, density_to, gc_diff, weights: tuple, absolute):
+    """How badly a contig with ratio times a chain's depth continues it; of numbers or, with their absolute, of columns."""
+    return weights[0] * absolute(1 - ratio) + weights[1] * (1 - density_to) + weights[2] * absolute(gc_diff)
+
+
 def extension_score(depth: Column, gc: Column, depth_to: Column, density_to: Column, gc_to: Column, weights: dict[str, float]) -> Column:
-    """How badly a contig continues a chain; a chain without depth cannot be continued."""
-    return (
-        F.when(depth == 0, F.lit(float("inf"))).otherwise(weights["depth_diff"] * F.abs(1 - F.try_divide(depth_to, depth)))
-        + weights["gene_density"] * (1 - density_to)
-        + weights["gc_diff"] * F.abs(gc - gc_to)
-    )
+    """The score of a step by columns; a chain without depth cannot be continued."""
+    score = step_score(F.try_divide(depth_to, depth), density_to, gc - gc_to, (weights["depth_diff"], weights["gene_density"], weights["gc_diff"]), F.abs)
+    return F.when(depth == 0, F.lit(float("inf"))).otherwise(score)
 
 
 def f1(precision: Column, recall: Column) -> Column:

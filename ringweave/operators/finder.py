@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringweave.functions.sequences import flip, gc_fraction, reverse_complement, wrapped
+from ringweave.functions.sequences import flip, gc_fraction, reverse_complement, step_score, suffix_prefix_overlap, wrapped
 from ringweave.operators import graph as G
 from ringweave.operators.sweep import periods_and_gaps
 from ringweave.operators.weighted import deviations, mean_of, weighted_median
@@ -34,7 +34,8 @@ class Growth:
     max_gap_segments: int = 2
     by_segment: bool = False  # each segment once, with its whole depth; a step may close the ring
     roulette: int | None = None  # seed of a draw by depth among the allowed steps; one step, as published
-    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)  # depth, density, GC
+    weights: tuple[float | None, float | None, float | None] = (1.0, 1.0, 1.0)  # depth, density, GC; None: the seeds' deviation
+    use_median: bool = False  # a chain's depth is the median over its letters, not the mean
 
 
 MEMBERS = "sample_id int, component string, seed string, seed_place int, found int, pos int, member int, seg_name string, orientation string, depth double, score double, circular boolean"
@@ -46,13 +47,29 @@ class Chain:
 
     def __init__(self, seed: str, facts: dict, rules: Growth):
         self.facts, self.rules, self.links = facts, rules, set()
-        self.members = [[0, seed, "+", rules.weights[1] * (1 - facts[seed].density), 0, 0]]
+        self.weights = (facts[seed].w_depth, facts[seed].w_density, facts[seed].w_gc)
+        self.members = [[0, seed, "+", self.weights[1] * (1 - facts[seed].density), 0, 0]]
         self.uses, self.closed, self.next_id = Counter([seed]), False, 1
 
     def average(self, value) -> float:
         total = sum(self.facts[m[1]].length for m in self.members)
         return sum(value(m[1]) * self.facts[m[1]].length for m in self.members) / (total or 1)
 
+    def depth(self, value) -> float:
+        """Mean or median over the members' letters."""
+        if not self.rules.use_median:
+            return self.average(value)
+        rows = sorted((value(m[1]), self.facts[m[1]].length) for m in self.members)
+        half = sum(n for _, n in rows) / 2
+        left = right = None
+        upto = 0
+        for v, n in rows:
+            upto += n
+            left = v if left is None and upto >= int(half) else left
+            right = v if right is None and upto >= int(half) + 1 else right
+        right = left if right is None else right
+        return left + (right - left) * (half - int(half))
+
     @staticmethod
     def link(a: tuple, b: tuple) -> tuple:
         """A link and its mirror image are the same."""
@@ -60,9 +77,9 @@ class Chain:
 
     def steps(self, depths: dict, ways: dict, least_depth: float) -> list[tuple]:
         """Allowed continuations (score, order, side, end, (name, orientation), link, share), the best first."""
-        rules, w, found = self.rules, self.rules.weights, []
+        rules, found = self.rules, []
         split = (lambda n, k: 1) if rules.by_segment else (lambda n, k: self.uses[n] + k)
-        depth, gc = self.average(lambda n: depths[n] / split(n, 0)), self.average(lambda n: self.facts[n].gc)
+        depth, gc = self.depth(lambda n: depths[n] / split(n, 0)), self.average(lambda n: self.facts[n].gc)
         room = rules.max_length - sum(self.facts[m[1]].length for m in self.members)
         if depth <= 0 or (self.closed and rules.by_segment):
             return []
@@ -77,7 +94,7 @@ class Chain:
                 near = end[4] + fact.length <= rules.max_gap_nt or end[5] < rules.max_gap_segments or fact.has_genes
                 if taken or share < least_depth or abs(gc - fact.gc) > rules.max_gc_diff or not near or (0 if known else fact.length) > room:
                     continue
-                score = w[0] * abs(1 - share / depth) + w[1] * (1 - fact.density) + w[2] * abs(gc - fact.gc)
+                score = step_score(share / depth, fact.density, gc - fact.gc, self.weights, abs)
                 if score <= rules.max_score:
                     found.append((score, (end[0], side, *there), side, end, there, link, share))
         return sorted(found, key=lambda s: s[:2])
@@ -124,7 +141,7 @@ def _grow(rules: Growth):
                     break
                 chain.take(steps[0])
             chain.close()
-            average = chain.average(lambda n: depths[n] / chain.uses[n])
+            average = chain.depth(lambda n: depths[n] / chain.uses[n])
             shares = {n: min(depths[n] / k, average) for n, k in chain.uses.items() if k}
             for pos, (member, name, orientation, score, *_) in enumerate(chain.members):
                 out.append((facts[seeds[0]].sample_id, facts[name].component, seeds[0], int(facts[seeds[0]].place), found, pos, member, name, orientation, shares[name], score, chain.closed))
@@ -137,20 +154,38 @@ def _grow(rules: Growth):
     return run
 
 
-def grow(segments: DataFrame, links: DataFrame, densities: DataFrame, rules: Growth = Growth(), *, min_density: float = 0.1, max_seed_length: int = 500_000) -> DataFrame:
+def thresholds(segments: DataFrame, *, min_plasmid_depth: float | None = None, min_contig_depth: float | None = None) -> DataFrame:
+    """(sample_id, plasmid_depth, least_depth): least depths of a candidate and of a segment.
+
+    Where they are not given, 0.4 of the length-weighted median depth of the sample, and 0.75 of that.
+    """
+    normal = G.normal_segments(segments).filter("depth is not null and length is not null")
+    found = weighted_median(normal, ["sample_id"], "depth", "length", "median")
+    plasmid = 0.4 * F.col("median") if min_plasmid_depth is None else F.lit(float(min_plasmid_depth))
+    found = found.select("sample_id", plasmid.alias("plasmid_depth"))
+    return found.withColumn("least_depth", 0.75 * F.col("plasmid_depth") if min_contig_depth is None else F.lit(float(min_contig_depth)))
+
+
+def grow(
+    segments: DataFrame, links: DataFrame, densities: DataFrame, rules: Growth = Growth(), *, min_density: float = 0.1, max_seed_length: int = 500_000,
+    min_plasmid_depth: float | None = None, min_contig_depth: float | None = None,
+) -> DataFrame:
     """Members of all candidates: plasmid_no per sample in the order of discovery, place in the chain, depth taken.
 
     densities: (sample_id, seg_name, density, has_genes); segments that are missing there have none. Segments without a
-    depth or length cannot take part. The least depth is 0.3 of the sample's length-weighted median.
+    depth or length cannot take part. min_density: of a seed. Least depths: see ``thresholds``.
     """
     keys = ["sample_id", "seg_name"]
     normal = G.normal_segments(segments).filter("depth is not null and length is not null")
-    thresholds = weighted_median(normal, ["sample_id"], "depth", "length", "median").select("sample_id", (0.75 * 0.4 * F.col("median")).alias("least_depth"))
-    deep = normal.join(thresholds, "sample_id").filter("depth >= least_depth").select(*keys)
-    order = G.seeds(segments, links, densities.select(*keys, "density").join(deep, keys, "left_semi"), min_depth=0.0, min_density=min_density, max_length=max_seed_length).select(*keys, "place")
+    least = thresholds(segments, min_plasmid_depth=min_plasmid_depth, min_contig_depth=min_contig_depth).select("sample_id", "least_depth")
+    deep = normal.join(least, "sample_id").filter("depth >= least_depth").select(*keys)
+    order = G.seeds(segments, links, densities.select(*keys, "density").join(deep, keys, "left_semi"), min_depth=0.0, min_density=min_density, max_length=max_seed_length)
+    order = Scratch(segments.sparkSession, "growth").write(order, "seeds")
+    given = dict(zip(("depth_diff", "gene_density", "gc_diff"), rules.weights))
+    spread = seed_weights(order).select("sample_id", *[(F.col(c) if w is None else F.lit(float(w))).alias(n) for (c, w), n in zip(given.items(), ("w_depth", "w_density", "w_gc"))])
     nodes = (
-        normal.join(densities, keys, "left").join(G.components(segments, links), keys).join(thresholds, "sample_id").join(order, keys, "left")
-        .select(*keys, "component", "length", "depth", "gc", "least_depth", F.coalesce("density", F.lit(0.0)).alias("density"), F.coalesce("has_genes", F.lit(False)).alias("has_genes"), "place")
+        normal.join(densities, keys, "left").join(G.components(segments, links), keys).join(least, "sample_id").join(order.select(*keys, "place"), keys, "left").join(spread, "sample_id")
+        .select(*keys, "component", "length", "depth", "gc", "least_depth", F.coalesce("density", F.lit(0.0)).alias("density"), F.coalesce("has_genes", F.lit(False)).alias("has_genes"), "place", "w_depth", "w_density", "w_gc")
     )
     nodes = Scratch(segments.sparkSession, "growth").write(nodes, "nodes")
     nodes = nodes.join(nodes.filter("place is not null").select("sample_id", "component").distinct(), ["sample_id", "component"], "left_semi")
@@ -167,7 +202,8 @@ def grow(segments: DataFrame, links: DataFrame, densities: DataFrame, rules: Gro
 def placed(members: DataFrame, segments: DataFrame, links: DataFrame) -> DataFrame:
     """Members with ``head`` and ``tail``, the overlaps cut off at either end, ``own`` length, and ``offset`` in the chain.
 
-    A member loses its overlap with the one before it; the last of a ring loses that with the first.
+    A member loses its overlap with the one before it; the last of a ring loses that with the first. Of repeated links
+    the last counts if they have an order (``ord``), else the longest overlap.
     """
     by = ["sample_id", "plasmid_no"]
     order, whole = Window.partitionBy(*by).orderBy("pos"), Window.partitionBy(*by)
@@ -175,7 +211,9 @@ def placed(members: DataFrame, segments: DataFrame, links: DataFrame) -> DataFra
     steps = members.select(*by, "seed", "circular", "pos", "seg_name", "orientation", "depth")
     steps = steps.withColumn("before", F.lag(F.struct("seg_name", "orientation")).over(order)).withColumn("start", F.min_by(F.struct("seg_name", "orientation"), "pos").over(whole))
     steps = steps.withColumn("after", F.when(F.col("circular") & (F.col("pos") == F.max("pos").over(whole)), F.col("start")))
-    ends = G.edges(links).groupBy("sample_id", "src", "src_ori", "dst", "dst_ori").agg(F.max("overlap").alias("ov"))
+    edges = G.edges(links)
+    overlap = F.max_by("overlap", "ord") if "ord" in edges.columns else F.max("overlap")
+    ends = edges.groupBy("sample_id", "src", "src_ori", "dst", "dst_ori").agg(overlap.alias("ov"))
     into = ends.select("sample_id", F.struct(F.col("src").alias("seg_name"), F.col("src_ori").alias("orientation")).alias("before"), F.col("dst").alias("seg_name"), F.col("dst_ori").alias("orientation"), F.col("ov").alias("head"))
     out = ends.select("sample_id", F.col("src").alias("seg_name"), F.col("src_ori").alias("orientation"), F.struct(F.col("dst").alias("seg_name"), F.col("dst_ori").alias("orientation")).alias("after"), F.col("ov").alias("tail"))
     joined = steps.join(into, ["sample_id", "before", "seg_name", "orientation"], "left").join(out, ["sample_id", "seg_name", "orientation", "after"], "left").join(length, ["sample_id", "seg_name"])
@@ -186,35 +224,59 @@ def placed(members: DataFrame, segments: DataFrame, links: DataFrame) -> DataFra
     return joined.withColumn("own", F.col("seg_length") - F.col("head") - F.col("tail")).withColumn("offset", offset).drop("before", "after", "start")
 
 
-def facts(members: DataFrame, segments: DataFrame, links: DataFrame, densities: DataFrame) -> DataFrame:
-    """Per candidate: length, mean depth, density, GC, sequence, number of members; lengths without the overlaps.
+def facts(members: DataFrame, segments: DataFrame, links: DataFrame, densities: DataFrame, *, hits: DataFrame | None = None, overlap_ends: int | None = None, use_median: bool = False) -> DataFrame:
+    """Per candidate: length, depth, density, GC, sequence, number of members; lengths without the overlaps.
 
-    The sequence and its GC are null where a member's sequence is absent. Density is weighted by length; see
-    ``chain_coverage`` for the one that lays the genes' stretches along the chain.
+    - The sequence and its GC are null where a member's sequence is absent. mean_depth is the median if use_median.
+    - Without hits, density is weighted by length. With hits (sample_id, seg_name, sstart, send) it is the share of
+      positions of ``chain_coverage``, and ``num_cds`` is the number of different locations on the candidate's segments.
+    - overlap_ends: a chain that is no ring is one if its sequence ends with at least so many letters with which it
+      begins; these count once.
     """
     by = ["sample_id", "plasmid_no"]
     turned = F.when(F.col("orientation") == "+", F.col("seq")).otherwise(reverse_complement("seq"))
     joined = placed(members, segments, links).join(densities.select("sample_id", "seg_name", "density"), ["sample_id", "seg_name"], "left")
-    joined = joined.select(*by, "seed", "circular", "pos", "depth", "own", F.coalesce("density", F.lit(0.0)).alias("density"), F.when(F.col("seq") != "*", F.substring(turned, F.col("head") + 1, F.col("own"))).alias("part"))
-    total = F.sum("own")
+    joined = joined.select(*by, "seed", "circular", "pos", "seg_name", "depth", "own", F.coalesce("density", F.lit(0.0)).alias("density"), F.when(F.col("seq") != "*", F.substring(turned, F.col("head") + 1, F.col("own"))).alias("part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("part", F.lit("")).alias("part")))), lambda x: x.part), "")
     found = joined.groupBy(*by, "seed", "circular").agg(
-        total.cast("bigint").alias("length"), F.count("*").alias("n_members"), (F.sum(F.col("depth") * F.col("own")) / F.when(total > 0, total).otherwise(1)).alias("mean_depth"),
-        (F.sum(F.col("density") * F.col("own")) / F.when(total > 0, total).otherwise(1)).alias("density"), F.when(F.count_if(F.col("part").isNull()) == 0, whole).alias("seq"),
+        F.sum("own").cast("bigint").alias("length"), F.count("*").alias("n_members"), F.sum(F.col("depth") * F.col("own")).alias("depths"), F.max_by("depth", "pos").alias("last_depth"),
+        F.sum(F.col("density") * F.col("own")).alias("covered"), F.max_by("density", "pos").alias("last_density"), F.when(F.count_if(F.col("part").isNull()) == 0, whole).alias("seq"),
     )
-    return found.withColumn("gc", F.when(F.col("seq").isNotNull(), gc_fraction("seq")))
-
-
-def chain_coverage(members: DataFrame, segments: DataFrame, links: DataFrame, hits: DataFrame, *, published: bool = False) -> DataFrame:
+    same = F.lit(0)
+    if overlap_ends is not None:
+        found = found.withColumn("same", F.when(~F.col("circular") & F.col("seq").isNotNull(), suffix_prefix_overlap("seq")))
+        same = F.when(F.col("same") >= overlap_ends, F.col("same")).otherwise(0)
+    found = found.withColumn("cut", same).withColumn("length", F.col("length") - F.col("cut"))
+    one = F.when(F.col("length") > 0, F.col("length")).otherwise(1)
+    found = found.select(
+        *by, "seed", (F.col("circular") | (F.col("cut") > 0)).alias("circular"), "length", "n_members", ((F.col("depths") - F.col("last_depth") * F.col("cut")) / one).alias("mean_depth"),
+        ((F.col("covered") - F.col("last_density") * F.col("cut")) / one).alias("density"), F.expr("substring(seq, 1, length(seq) - cut)").alias("seq"), "cut",
+    )
+    if use_median:
+        rows = joined.join(found.select(*by, "cut", "n_members"), by).withColumn("own", F.col("own") - F.when(F.col("pos") == F.col("n_members") - 1, F.col("cut")).otherwise(0))
+        found = found.drop("mean_depth").join(weighted_median(rows, by, "depth", "own", "mean_depth"), by, "left")
+    if hits is not None:
+        cover = chain_coverage(members, segments, links, hits, published=True, cuts=found.select(*by, "cut"))
+        known = hits.groupBy("sample_id", "seg_name").agg(F.count_distinct("sstart", "send").alias("n"))
+        cds = members.select(*by, "seg_name").distinct().join(known, ["sample_id", "seg_name"]).groupBy(*by).agg(F.sum("n").alias("num_cds"))
+        found = found.drop("density").join(cover.select(*by, "density"), by, "left").join(cds, by, "left")
+        found = found.withColumn("density", F.coalesce("density", F.lit(0.0))).withColumn("num_cds", F.coalesce("num_cds", F.lit(0)))
+    return found.drop("cut").withColumn("gc", F.when(F.col("seq").isNotNull(), gc_fraction("seq")))
+
+
+def chain_coverage(members: DataFrame, segments: DataFrame, links: DataFrame, hits: DataFrame, *, published: bool = False, cuts: DataFrame | None = None) -> DataFrame:
     """(sample_id, plasmid_no, covered, density): positions of the chain that genes cover, overlaps counted once.
 
     hits: (sample_id, seg_name, sstart, send), 1-based. Stretches that run over a chain's end continue at its start.
     published: as in the published densities, stretches on '-' lie one position high and position 0 does not count.
+    cuts: (sample_id, plasmid_no, cut), letters at the end that are those at the start.
     """
     by = ["sample_id", "plasmid_no"]
     known = hits.filter("sstart is not null and send is not null").select("sample_id", "seg_name", (F.least("sstart", "send") - 1).alias("a"), (F.greatest("sstart", "send") - 1).alias("b"))
     place = placed(members, segments, links)
     size = place.groupBy(*by).agg(F.sum("own").cast("bigint").alias("size"))
+    if cuts is not None:
+        size = size.join(cuts, by).select(*by, (F.col("size") - F.col("cut")).alias("size"))
     laid = place.select(*by, "seg_name", "orientation", "seg_length", "offset").join(known, ["sample_id", "seg_name"]).join(size, by)
     shift = F.when((F.col("orientation") == "-") & F.lit(not published), 1).otherwise(0)
     ends = flip(F.col("a"), F.col("b"), F.col("seg_length"), F.col("orientation"))
@@ -230,26 +292,36 @@ def chain_coverage(members: DataFrame, segments: DataFrame, links: DataFrame, hi
 def subsets(members: DataFrame) -> DataFrame:
     """(sample_id, plasmid_no) of candidates whose segments all lie in a larger candidate, or in a later equal one.
 
-    A candidate is compared only with those that share its rarest segment, the smallest name of equally rare ones.
+    Of candidates with the same segments only the last is compared with others, and only with those that have its rarest
+    segment, the smallest name of equally rare ones.
     """
     by = ["sample_id", "plasmid_no"]
-    sets = members.select(*by, "seg_name").distinct()
-    sizes = sets.groupBy(*by).agg(F.count("*").alias("n"))
+    each = members.groupBy(*by).agg(F.array_sort(F.collect_set("seg_name")).alias("segments"))
+    last = each.groupBy("sample_id", "segments").agg(F.max("plasmid_no").alias("last"))
+    equal = each.join(last, ["sample_id", "segments"]).filter("plasmid_no <> last").select(*by)
+    sets = last.select("sample_id", F.col("last").alias("plasmid_no"), F.size("segments").alias("n"), F.explode("segments").alias("seg_name"))
     rare = sets.join(sets.groupBy("sample_id", "seg_name").agg(F.count("*").alias("uses")), ["sample_id", "seg_name"])
-    pick = rare.groupBy(*by).agg(F.min(F.struct("uses", "seg_name")).alias("r")).select(*by, F.col("r.seg_name").alias("seg_name"))
-    other = sets.select("sample_id", F.col("plasmid_no").alias("other"), "seg_name")
-    tried = pick.join(other, ["sample_id", "seg_name"]).filter("plasmid_no <> other").select(*by, "other")
-    shared = tried.join(sets, by).join(other, ["sample_id", "other", "seg_name"]).groupBy(*by, "other").agg(F.count("*").alias("shared"))
-    both = shared.join(sizes, by).join(sizes.select("sample_id", F.col("plasmid_no").alias("other"), F.col("n").alias("m")), ["sample_id", "other"])
-    return both.filter("shared = n and (m > n or other > plasmid_no)").select(*by).distinct()
-
-
-def classified(found: DataFrame, members: DataFrame, *, min_density: float, min_depth: float, min_length: int, max_length: int) -> DataFrame:
-    """Candidates with ``class``: 'putative', or 'questionable' for low density or depth, length, or being a subset."""
-    good = (F.col("density") >= min_density) & (F.col("mean_depth") >= min_depth) & F.col("length").between(min_length, max_length)
-    marked = found.withColumn("good", good)
+    pick = rare.groupBy(*by).agg(F.min(F.struct("uses", "seg_name")).alias("r"), F.first("n").alias("n")).select(*by, "n", F.col("r.seg_name").alias("seg_name"))
+    other = sets.select("sample_id", F.col("plasmid_no").alias("other"), "seg_name", F.col("n").alias("m"))
+    tried = pick.join(other, ["sample_id", "seg_name"]).filter("m > n").select(*by, "n", "other")
+    shared = tried.join(sets.select(*by, "seg_name"), by).join(other.select("sample_id", "other", "seg_name"), ["sample_id", "other", "seg_name"])
+    inside = shared.groupBy(*by, "n", "other").agg(F.count("*").alias("shared")).filter("shared = n").select(*by)
+    return equal.unionByName(inside).distinct()
+
+
+def classified(found: DataFrame, members: DataFrame, *, min_density: float, min_depth: float | DataFrame, min_length: int, max_length: int, keep_subsets: bool = False) -> DataFrame:
+    """Candidates with ``class``: 'putative', or 'questionable' for low density or depth, length, or being a subset.
+
+    min_depth: a number, or (sample_id, plasmid_depth) of ``thresholds``.
+    """
+    if isinstance(min_depth, DataFrame):
+        marked, least = found.join(min_depth.select("sample_id", "plasmid_depth"), "sample_id"), F.col("plasmid_depth")
+    else:
+        marked, least = found, F.lit(min_depth)
+    good = (F.col("density") >= min_density) & (F.col("mean_depth") >= least) & F.col("length").between(min_length, max_length)
+    marked = marked.withColumn("good", good).select(*found.columns, "good")
     kept = members.join(marked.filter("good").select("sample_id", "plasmid_no"), ["sample_id", "plasmid_no"], "left_semi")
-    inside = subsets(kept).withColumn("inside", F.lit(True))
+    inside = subsets(kept).withColumn("inside", F.lit(True)).filter(F.lit(not keep_subsets))
     joined = marked.join(inside, ["sample_id", "plasmid_no"], "left")
     return joined.withColumn("class", F.when(F.col("good") & F.col("inside").isNull(), "putative").otherwise("questionable")).drop("good", "inside")
 
@@ -260,15 +332,25 @@ def chain_lines(members: DataFrame) -> DataFrame:
     return members.groupBy("sample_id", "plasmid_no").agg(F.array_join(chain, ",").alias("c")).select("sample_id", "plasmid_no", F.concat(F.lit("plasmid_"), "plasmid_no", F.lit(";"), "c").alias("value"))
 
 
-def record_heads(found: DataFrame) -> DataFrame:
-    """Definition lines of the candidates' sequences."""
+def record_heads(found: DataFrame, *, use_median: bool = False) -> DataFrame:
+    """Definition lines of the candidates' sequences; num_cds where it is known."""
+    cds, count = ("num_cds=%d\t", ["num_cds"]) if "num_cds" in found.columns else ("", [])
     text = F.format_string(
-        "plasmid_%d seed_contig=%s\tlength=%d\tmean_read_depth=%f\tgene_density=%f\tgc_content=%f\tcircular=%d",
-        "plasmid_no", "seed", "length", "mean_depth", "density", "gc", F.col("circular").cast("int"),
+        f"plasmid_%s seed_contig=%s\tlength=%d\t{'median' if use_median else 'mean'}_read_depth=%f\tgene_density=%f\t{cds}gc_content=%f\tcircular=%d",
+        F.col("plasmid_no").cast("string"), "seed", "length", "mean_depth", "density", *count, "gc", F.col("circular").cast("int"),
     )
     return found.filter("seq is not null").select("sample_id", "plasmid_no", text.alias("head"), "seq")
 
 
+def member_records(members: DataFrame, segments: DataFrame) -> DataFrame:
+    """(sample_id, plasmid_no, head, seq): each member's sequence as it lies in its chain, under 'segment|place_plasmid'."""
+    seqs = segments.filter("seq <> '*'").select("sample_id", "seg_name", "seq")
+    turned = F.when(F.col("orientation") == "+", F.col("seq")).otherwise(reverse_complement("seq"))
+    place = F.col("member" if "member" in members.columns else "pos").cast("string")
+    head = F.concat("seg_name", F.lit("|"), place, F.lit("_plasmid_"), F.col("plasmid_no").cast("string"))
+    return members.join(seqs, ["sample_id", "seg_name"]).select("sample_id", "plasmid_no", head.alias("head"), turned.alias("seq"))
+
+
 def seed_weights(seeds: DataFrame) -> DataFrame:
     """Per sample the weights that the seeds' spread suggests: weighted deviations of depth, density and GC; 0 for one seed."""
     spread = deviations(seeds, ["sample_id"], ["depth", "density", "gc"], "length").join(seeds.groupBy("sample_id").count(), "sample_id")
@@ -322,6 +404,12 @@ def bins(found: DataFrame, segments: DataFrame, factor: float = 2.5) -> DataFram
     return ranked.groupBy("sample_id").applyInPandas(_bins(factor), BINS)
 
 
+def bin_lines(found: DataFrame) -> DataFrame:
+    """(sample_id, value): the candidates of each bin, comma-separated, a line for each bin."""
+    lines = found.groupBy("sample_id", "bin_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "plasmid_no"))), lambda x: F.concat(F.lit("plasmid_"), x.plasmid_no.cast("string"))), ",").alias("value"))
+    return lines.select("sample_id", "value")
+
+
 def tagged_lines(lines: DataFrame, members: DataFrame, classes: DataFrame, genes: DataFrame) -> DataFrame:
     """(sample_id, ord, value): a graph's lines with a label and colour on segments of candidates, comments dropped.
 

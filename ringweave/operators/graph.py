@@ -17,11 +17,15 @@ def normal_segments(segments: DataFrame) -> DataFrame:
 
 
 def edges(links: DataFrame) -> DataFrame:
-    """Each link in both directions: leaving src in src_ori means entering dst in dst_ori, and the mirror image."""
+    """Each link in both directions: leaving src in src_ori means entering dst in dst_ori, and the mirror image.
+
+    A column ``ord``, the links' order, is kept if there is one.
+    """
+    kept = ["ord"] if "ord" in links.columns else []
     flip = lambda c: F.when(F.col(c) == "+", "-").otherwise("+")
     ov = overlap_length("overlap")
-    forth = links.select("sample_id", F.col("from_seg").alias("src"), F.col("from_ori").alias("src_ori"), F.col("to_seg").alias("dst"), F.col("to_ori").alias("dst_ori"), ov.alias("overlap"))
-    back = links.select("sample_id", F.col("to_seg").alias("src"), flip("to_ori").alias("src_ori"), F.col("from_seg").alias("dst"), flip("from_ori").alias("dst_ori"), ov.alias("overlap"))
+    forth = links.select("sample_id", F.col("from_seg").alias("src"), F.col("from_ori").alias("src_ori"), F.col("to_seg").alias("dst"), F.col("to_ori").alias("dst_ori"), ov.alias("overlap"), *kept)
+    back = links.select("sample_id", F.col("to_seg").alias("src"), flip("to_ori").alias("src_ori"), F.col("from_seg").alias("dst"), flip("from_ori").alias("dst_ori"), ov.alias("overlap"), *kept)
     return forth.unionByName(back)
 
 

@@ -33,6 +33,11 @@ def unknown_genes(hits: DataFrame, genes: DataFrame) -> DataFrame:
     return hits.join(genes, F.col("qseqid") == F.col("gene_id"), "left_anti").select("qseqid").distinct()
 
 
+def unknown_contigs(hits: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Subjects of the hit table that are no contig."""
+    return hits.join(contigs, F.col("sseqid") == F.col("contig"), "left_anti").select("sseqid").distinct()
+
+
 def hit_classes(hits: DataFrame, genes: DataFrame) -> DataFrame:
     """Each gene's number of hits and its class: 'none', 'one' or 'many'."""
     counts = hits.groupBy(F.col("qseqid").alias("gene_id")).agg(F.count("*").alias("n"))

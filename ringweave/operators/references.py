@@ -63,3 +63,13 @@ def database(plasmids: DataFrame, genes: DataFrame, blacklist: DataFrame, *, rel
         good = good.filter(F.col("release_date") < released_before)
     found = genes.join(good.select("plasmid"), "plasmid", "left_semi").filter(F.length("seq") >= min_gene)
     return dereplicated(found, "seq", "plasmid", "gene_no").select("plasmid", "gene_no", "seq") if dereplicate else found
+
+
+def database_counts(plasmids: DataFrame, genes: DataFrame, blacklist: DataFrame, found: DataFrame, *, released_before: str | None = None, plasmid_range: tuple[int, int] = (0, 2**31 - 1), min_gene: int = 0) -> DataFrame:
+    """One row: plasmids read, on the blacklist, outside the lengths, too late, used; genes read, too short, used."""
+    listed = plasmids.join(blacklist.select("plasmid").distinct().withColumn("black", F.lit(True)), "plasmid", "left")
+    black, late = F.col("black").isNotNull(), F.lit(False) if released_before is None else ~F.coalesce(F.col("release_date") < released_before, F.lit(False))
+    fits = F.coalesce(F.col("length").between(*plasmid_range), F.lit(False))
+    p = listed.agg(F.count("*").alias("plasmids"), F.count_if(black).alias("blacklisted"), F.count_if(~black & ~fits).alias("wrong_length"), F.count_if(~black & fits & late).alias("late"), F.count_if(~black & fits & ~late).alias("used"))
+    g = genes.agg(F.count("*").alias("genes"), F.count_if(F.length("seq") < min_gene).alias("short_genes"))
+    return p.join(g, F.lit(True)).join(found.agg(F.count("*").alias("genes_used")), F.lit(True))  # one row each

@@ -241,6 +241,19 @@ def reference_set_sizes(spark, folder):
     return R.set_sizes(hits.select(F.col("qseqid").alias("k")), hits.select(F.col("sseqid").alias("k")), "k")
 
 
+def database_parts(spark, folder):
+    """Plasmids, their stretches of 300 letters taken for genes, and the listed ones as a blacklist."""
+    rows = references(spark, folder).withColumn("accession", S.accession_in("id")).filter("accession is not null").withColumn("plasmid", F.lpad(F.col("ref_no").cast("string"), 12, "0"))
+    listed = table(spark, folder, "samples").select(F.explode(F.transform(F.split("plasmids", ","), lambda p: F.trim(p))).alias("accession"))
+    black = rows.join(listed, "accession", "left_semi").select("plasmid")
+    cut = rows.select("plasmid", "s", F.posexplode(F.sequence(F.lit(1), F.length("s"), F.lit(300))).alias("i", "at"))
+    stretches = cut.select("plasmid", (F.col("i") + 1).alias("gene_no"), F.expr("substring(s, at, 300)").alias("seq"))
+    return rows.select("plasmid", F.length("s").alias("length"), "release_date"), stretches, black
+
+
+RULES = {"released_before": "2023-06-01", "plasmid_range": (500, 5000), "min_gene": 100}
+
+
 @query(
     "gene_database",
     f"""WITH {REFS}, {CONTIGS}, l AS (SELECT DISTINCT trim(unnest(string_split(plasmids, ','))) AS p FROM samples),
@@ -250,13 +263,20 @@ SELECT plasmid, gene_no, seq FROM (SELECT lpad(CAST(ref_no AS VARCHAR), 12, '0')
 )
 def gene_database(spark, folder):
     """A database of stretches of 300 letters of references that qualify and that no sample lists."""
-    rows = references(spark, folder).withColumn("accession", S.accession_in("id")).filter("accession is not null").withColumn("plasmid", F.lpad(F.col("ref_no").cast("string"), 12, "0"))
-    listed = table(spark, folder, "samples").select(F.explode(F.transform(F.split("plasmids", ","), lambda p: F.trim(p))).alias("accession"))
-    black = rows.join(listed, "accession", "left_semi").select("plasmid")
-    cut = rows.select("plasmid", "s", F.posexplode(F.sequence(F.lit(1), F.length("s"), F.lit(300))).alias("i", "at"))
-    stretches = cut.select("plasmid", (F.col("i") + 1).alias("gene_no"), F.expr("substring(s, at, 300)").alias("seq"))
-    plasmids = rows.select("plasmid", F.length("s").alias("length"), "release_date")
-    return R.database(plasmids, stretches, black, released_before="2023-06-01", plasmid_range=(500, 5000), min_gene=100)
+    return R.database(*database_parts(spark, folder), **RULES)
+
+
+@query(
+    "database_counts",
+    f"""WITH {REFS}, l AS (SELECT DISTINCT trim(unnest(string_split(plasmids, ','))) AS p FROM samples),
+a AS (SELECT ref_no, s, length(s) AS n, release_date, {ACC} IN (SELECT p FROM l WHERE p IS NOT NULL) AS black, length(s) BETWEEN 500 AND 5000 AS fits, coalesce(release_date < '2023-06-01', false) AS early FROM rf WHERE regexp_matches(id, '(?i)NZ[^A-Za-z0-9]?PL[0-9]+\\.[0-9]+')),
+g AS (SELECT black, fits, early, substr(s, CAST((i - 1) * 300 + 1 AS BIGINT), 300) AS seq FROM a, LATERAL (SELECT unnest(generate_series(1, CAST(ceil(n / 300.0) AS BIGINT))) AS i))
+SELECT count(*) AS plasmids, count(*) FILTER (black) AS blacklisted, count(*) FILTER (NOT black AND NOT fits) AS wrong_length, count(*) FILTER (NOT black AND fits AND NOT early) AS late, count(*) FILTER (NOT black AND fits AND early) AS used,
+  (SELECT count(*) FROM g) AS genes, (SELECT count(*) FROM g WHERE length(seq) < 100) AS short_genes, (SELECT count(DISTINCT seq) FROM g WHERE NOT black AND fits AND early AND length(seq) >= 100) AS genes_used FROM a""",
+)
+def database_counts(spark, folder):
+    """What was read, discarded and used for the database."""
+    return R.database_counts(*database_parts(spark, folder), gene_database(spark, folder), **RULES)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.functions.sequences import accession_in
+from ringweave.functions.sequences import accession_in, without_version
 from ringweave.operators import hits as H
 from ringweave.plans.catalog import query
 from ringweave.plans.tables import table
@@ -55,6 +55,27 @@ def unknown_genes(spark, folder):
     return H.unknown_genes(table(spark, folder, "matches"), table(spark, folder, "genes"))
 
 
+@query("unknown_contigs", f"WITH {CONTIGS} SELECT DISTINCT sseqid FROM matches WHERE sseqid NOT IN (SELECT contig FROM ct)")
+def unknown_contigs(spark, folder):
+    """Subjects of the hit table that are no received reference."""
+    return H.unknown_contigs(table(spark, folder, "matches"), contig_lengths(spark, folder))
+
+
+REMAP = """nw AS (SELECT string_split(contig, '.')[1] AS base, max(CAST(string_split(contig, '.')[2] AS INTEGER)) AS version FROM ct GROUP BY 1)"""
+
+
+@query(
+    "remapped_hits",
+    f"WITH {CONTIGS}, {REMAP} SELECT base || '.' || version AS contig, count(*) AS n_hits FROM matches JOIN nw ON base = string_split(sseqid, '.')[1] GROUP BY 1",
+)
+def remapped_hits(spark, folder):
+    """Hits counted by the newest received version of their subject's accession."""
+    versions = contig_lengths(spark, folder).select(without_version("contig").alias("base"), F.substring_index("contig", ".", -1).cast("int").alias("version"))
+    newest = versions.groupBy("base").agg(F.max("version").alias("version")).select("base", F.concat_ws(".", "base", F.col("version").cast("string")).alias("contig"))
+    counts = table(spark, folder, "matches").groupBy(without_version("sseqid").alias("base")).agg(F.count("*").alias("n_hits"))
+    return counts.join(newest, "base").select("contig", "n_hits")
+
+
 @query(
     "hit_classes",
     CLASSED_SHORT + """ SELECT gene_id, coalesce(n, 0) AS n_hits, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS hit_class
