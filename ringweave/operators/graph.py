@@ -58,20 +58,26 @@ def _star_step(pairs: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _unsettled(pairs: DataFrame) -> DataFrame:
+    """Vertices of pairs a < b that are a centre and have one, or have several: none, once all pairs form stars."""
+    role = lambda v, centre: F.struct(F.col(v).alias("v"), F.lit(centre).alias("centre"), F.lit(1 - centre).alias("leaf"))
+    roles = pairs.select(F.inline(F.array(role("a", 1), role("b", 0))))
+    return roles.groupBy("v").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf")).filter("leaf > 1 or (centre = 1 and leaf = 1)")
+
+
 def star_labels(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, label) of every vertex in pairs a < b: the smallest vertex of its component, by alternating star steps.
 
     The rounds grow with the logarithm of the vertices; smallest neighbours are found with map-side combining.
     """
-    mark, step = None, 0
+    step = 0
     while True:
         pairs = scratch.write(_star_step(_star_step(pairs, True), False), f"stars{step}")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if step:
             scratch.drop(f"stars{step - 1}")
-        if now == mark:
+        if _unsettled(pairs).isEmpty():
             return pairs.select(F.col("b").alias("v"), F.col("a").alias("label")).unionByName(pairs.select(F.col("a").alias("v"), F.col("a").alias("label")).distinct())
-        mark, step = now, step + 1
+        step += 1
 
 
 def components(segments: DataFrame, links: DataFrame, only: DataFrame | None = None) -> DataFrame:
