@@ -3,8 +3,9 @@
 Each round strips the vertices of degree one and splices vertices of degree two out of their chains (list ranking by
 independent sets: of two neighbouring candidates the one with the higher priority goes, so a chain of any length
 shrinks by a constant share a round). A removed vertex keeps a pointer to a neighbour that stayed. What no longer
-shrinks is the core, which large-star and small-star steps solve; then the removed vertices get the labels of those
-they point to, the last removed first.
+shrinks is the core, which large-star and small-star steps solve. A removed vertex points to one that was removed in a
+later round or not at all, so that pointers are followed by doubling, in as many steps as the rounds have binary digits, and
+then give the labels back.
 
 Skew: degrees and smallest neighbours are aggregated with map-side combining; whatever is compared between neighbours
 is grouped by the pair, never by one vertex, so a vertex that holds a third of all links is never a group. The joins
@@ -40,6 +41,26 @@ def _removable(edges: DataFrame, seed: int) -> DataFrame:
     return low.join(blocked, "v", "left_anti").select("v", "lo", "hi")
 
 
+def _contracted(edges: DataFrame, seed: int, scratch: Scratch) -> tuple[DataFrame, int, DataFrame, int]:
+    """Removed vertices (v, p) and the edges (a, b) that stay or are spliced, written together, and the numbers of either."""
+    gone = _removable(edges, seed)
+    cut = gone.select(F.explode(F.array("lo", "hi")).alias("u"), "v").select(*_pair("v", "u"))
+    spliced = gone.filter("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    stay = edges.join(cut, ["a", "b"], "left_anti").unionByName(spliced).distinct()
+    both = gone.select(F.lit(True).alias("gone"), F.col("v").alias("x"), F.col("lo").alias("y"))
+    both = scratch.write(both.unionByName(stay.select(F.lit(False).alias("gone"), F.col("a").alias("x"), F.col("b").alias("y"))), f"round{seed}")
+    n_gone, n_edges = both.agg(F.count_if("gone"), F.count_if(~F.col("gone"))).first()
+    return both.filter("gone").select(F.col("x").alias("v"), F.col("y").alias("p")), n_gone, both.filter("not gone").select(F.col("x").alias("a"), F.col("y").alias("b")), n_edges
+
+
+def _followed(pointers: DataFrame, rounds: int, scratch: Scratch) -> DataFrame:
+    """(v, p): the vertex that each removed vertex's pointers end at, which was never removed."""
+    for step in range(max(rounds - 1, 0).bit_length()):
+        ahead = pointers.select(F.col("v").alias("p"), F.col("p").alias("next"))
+        pointers = scratch.write(pointers.join(ahead, "p", "left").select("v", F.coalesce("next", "p").alias("p")), f"pointers{step}")
+    return pointers
+
+
 def linked_groups(pairs: DataFrame, left: str, right: str, *, seq: str = "seq_id", least_share: float = 0.05) -> DataFrame:
     """One row for each record that has a link: ``seq_id`` and ``group_id``, the smallest record of its group.
 
@@ -49,42 +70,30 @@ def linked_groups(pairs: DataFrame, left: str, right: str, *, seq: str = "seq_id
 
     least_share: below this share of vertices removed in a round, contraction ends and the core is solved.
     """
-    spark = pairs.sparkSession
-    scratch = Scratch(spark, "groups")
+    scratch = Scratch(pairs.sparkSession, "groups")
     links = pairs.select(F.col(left).alias("x"), F.col(right).alias("y")).filter("x <> y").select(*_pair("x", "y")).distinct()
-    edges = scratch.write(links, "edges0")
-    n_edges = edges.count()
+    edges = scratch.write(links, "edges")
     removed: list[DataFrame] = []
-    while n_edges:
-        r = len(removed)
-        gone = scratch.write(_removable(edges, r), f"removed{r}")
-        n_gone = gone.count()
-        if n_gone == 0 or (r and n_gone < least_share * n_edges):
+    while True:
+        gone, n_gone, edges, n_edges = _contracted(edges, len(removed), scratch)
+        if n_gone:
+            removed.append(gone)
+        if not n_edges or n_gone < least_share * n_edges:
             break
-        removed.append(gone)
-        cut = gone.select(F.explode(F.array("lo", "hi")).alias("u"), "v").select(*_pair("v", "u"))
-        spliced = gone.filter("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        edges = scratch.write(edges.join(cut, ["a", "b"], "left_anti").unionByName(spliced).distinct(), f"edges{r + 1}")
-        scratch.drop(f"edges{r}")
-        n_edges = edges.count()
     # Vertices that lost their last link without being removed are roots and label themselves.
-    known = star_labels(edges, scratch) if n_edges else None
-    pointers = [g.select("v", F.col("lo").alias("p")) for g in removed]
-    if pointers:
-        every = union_all(*pointers)
-        roots = every.select(F.col("p").alias("v")).distinct().join(every.select("v"), "v", "left_anti")
-        if known is not None:
-            roots = roots.join(known.select("v"), "v", "left_anti")
-        roots = roots.select("v", F.col("v").alias("label"))
-        known = roots if known is None else known.unionByName(roots)
+    core = star_labels(edges, scratch) if n_edges else None
+    if not removed:
+        known = core
+    else:
+        pointers = _followed(union_all(*removed), len(removed), scratch)
+        ends = pointers.unionByName(pointers.select("p", "p").distinct().toDF("v", "p"))
+        if core is None:
+            known = ends.select("v", F.col("p").alias("label"))
+        else:
+            known = ends.join(core.select(F.col("v").alias("p"), "label"), "p", "left").select("v", F.coalesce("label", "p").alias("label")).unionByName(core).distinct()
     if known is None:
         return links.select(F.col("a").alias(seq), F.col("a").alias("group_id"))
-    # Each round's labels are one more table beside the earlier ones, and every label so far is read from there.
-    labels = [scratch.write(known, "labels")]
-    for r in reversed(range(len(pointers))):
-        so_far = union_all(*labels).select(F.col("v").alias("p"), "label")
-        labels.append(scratch.write(pointers[r].join(so_far, "p").select("v", "label"), f"labels{r}"))
-    known = union_all(*labels)
+    known = scratch.write(known, "labels")
     # A label is any record of the group; the smallest one is found with map-side combining and looked up by label.
     smallest = known.groupBy("label").agg(F.min("v").alias("group_id"))
     return known.join(smallest, "label").select(F.col("v").alias(seq), "group_id")
