@@ -7,8 +7,9 @@ MinHash over the five-word shingles suffices. Two equal windows have equal MinHa
 shares its MinHash with most of its neighbours, so a text has about two signatures for ``passage`` words. Candidates are
 then verified by the exact words of the window.
 
-The items' signatures are counted; up to ``sent`` of them are sent to every task, which then reads the documents once and
-passes on only windows that collide. More are joined, and the documents that collide are read again.
+The documents are read once: every task has a filter of the items' windows, of a fixed number of bits whatever the number of
+items, and passes on only windows that collide with it. The more windows the items have, the more pass in vain, but none
+is missed; items and windows are then joined by signature and words.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringweave.session import Scratch
-
 SHINGLE = 5
 CHUNK = 2_000_000  # bytes whose words are hashed at a time
 
@@ -109,38 +108,34 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Word
             at = to
 
 
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array."""
-    if not len(among):
-        return np.zeros(len(values), bool)
-    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+class Filter:
+    """The bits set for the items' windows, as sorted places of numbers of 64 bits that are not zero."""
 
+    def __init__(self, place: np.ndarray, bits: np.ndarray, digits: int):
+        order = np.argsort(place)
+        self.place, self.bits, self.digits = place[order], bits[order].view(np.uint64), digits
 
-def _bands(passage: int):
-    """(id, band): the different MinHashes of each text's windows."""
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.place):
+            return np.zeros(len(hashes), bool)
+        place, bit = _filter_place(hashes, self.digits)
+        at = np.minimum(np.searchsorted(self.place, place), len(self.place) - 1)
+        return (self.place[at] == place) & (((self.bits[at] >> bit) & np.uint64(1)) == 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words in _texts(batches):
-            at, low = words.windows(passage)
-            owner = words.owner[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[new]]), pa.array(low[new].view(np.int64))], names=["id", "band"])
 
-    return run
+def _filter_place(hashes: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    top = hashes >> np.uint64(64 - digits)
+    return (top >> np.uint64(6)).astype(np.int32), top & np.uint64(63)
 
 
 def _colliding(passage: int, sent=None):
-    """(id, band, words) of each text's windows; sent: the sorted MinHashes and window hashes that are looked for."""
+    """(id, band, words) of each text's windows; sent: the filter that windows must pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words in _texts(batches):
             at, low = words.windows(passage)
             if sent is not None:
-                bands, whole = sent.value
-                hit = _member(low, bands)
-                at, low = at[hit], low[hit]
-                hit = _member(words.rolled(passage)[at], whole) if len(at) else np.zeros(0, bool)
+                hit = sent.value.passes(words.rolled(passage)[at]) if len(at) else np.zeros(0, bool)
                 at, low = at[hit], low[hit]
             found = {(int(words.owner[i]), words.words(i, passage)): int(b) for i, b in zip(at, low.view(np.int64))}
             yield pa.RecordBatch.from_arrays(
@@ -150,14 +145,16 @@ def _colliding(passage: int, sent=None):
     return run
 
 
-def _keys(passage: int):
-    """(band, whole) of each window: its MinHash, and a hash of all its words."""
+def _keys(passage: int, digits: int):
+    """(place, bits) of the filter that a batch's windows set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words in _texts(batches):
-            at, low = words.windows(passage)
-            whole = words.rolled(passage)[at] if len(at) else low
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(whole.view(np.int64))], names=["band", "whole"])
+            at, _ = words.windows(passage)
+            if len(at):
+                place, bit = _filter_place(np.unique(words.rolled(passage)[at]), digits)
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(place[first]), pa.array(np.bitwise_or.reduceat(np.uint64(1) << bit, first).view(np.int64))], names=["place", "bits"])
 
     return run
 
@@ -166,31 +163,24 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null and length(text) > 0")
 
 
-def _send(spark: SparkSession, keys: DataFrame):
-    """The items' window keys, of which there are a counted, bounded number, as sorted arrays in every task."""
-    found = keys.toArrow()
-    return spark.sparkContext.broadcast(tuple(np.unique(found.column(c).to_numpy().view(np.uint64)) for c in ("band", "whole")))
+def _send(spark: SparkSession, wanted: DataFrame, passage: int, digits: int):
+    """The filter in every task: an aggregate with at most 2 to the power of digits - 6 rows."""
+    found = wanted.mapInArrow(_keys(passage, digits), "place int, bits bigint").groupBy("place").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    return spark.sparkContext.broadcast(Filter(found.column("place").to_numpy(), found.column("bits").to_numpy(), digits))
 
 
-def leaked_items(items: DataFrame, item: str, item_text: str, documents: DataFrame, doc: str, doc_text: str, *, passage: int = 20, sent: int = 2_000_000) -> DataFrame:
+def leaked_items(items: DataFrame, item: str, item_text: str, documents: DataFrame, doc: str, doc_text: str, *, passage: int = 20, filter_digits: int = 28) -> DataFrame:
     """``item_id``, ``doc_id``: items and documents that have ``passage`` consecutive words in common.
 
     - A word is a longest run of ASCII letters and digits, case ignored; whatever stands between words is ignored.
     - Null and empty texts, texts of fewer words, and null ids give no rows. Repeated rows change nothing. Whole texts
       of any length are read. Other columns are ignored, whatever they are called.
 
-    sent: up to so many different windows of items are sent to the tasks (16 bytes each); more are joined.
+    filter_digits: binary digits of a window's hash that tell its bit in the filter; 28 make at most 4 million numbers.
     """
     if passage < SHINGLE:
         raise ValueError(f"a passage has at least {SHINGLE} words")
-    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "leaks")
     wanted, corpus = _rows(items, item, item_text), _rows(documents, doc, doc_text)
-    keys = scratch.write(wanted.mapInArrow(_keys(passage), "band bigint, whole bigint").distinct(), "keys")
-    if keys.count() <= sent:
-        found = corpus.mapInArrow(_colliding(passage, _send(spark, keys)), WINDOW_DDL)
-    else:
-        bands = corpus.mapInArrow(_bands(passage), "id bigint, band bigint")
-        ids = scratch.write(bands.join(keys.select("band").distinct(), "band", "left_semi").select("id").distinct(), "ids")
-        found = corpus.join(ids, "id", "left_semi").mapInArrow(_colliding(passage), WINDOW_DDL)
+    found = corpus.mapInArrow(_colliding(passage, _send(documents.sparkSession, wanted, passage, filter_digits)), WINDOW_DDL)
     passages = wanted.mapInArrow(_colliding(passage), WINDOW_DDL).select(F.col("id").alias("item_id"), "band", "words")
     return found.select(F.col("id").alias("doc_id"), "band", "words").join(passages, ["band", "words"]).select("item_id", "doc_id").distinct()
