@@ -20,8 +20,8 @@ from pyspark.sql.types import IntegerType
 
 from ringweave.session import Scratch, union_all
 
-#: At most so many buckets are told to be split in one round, so that they can be sent to every task.
-MOST_SPLIT = 100_000
+#: The keys of up to so many buckets that are split in one round are sent to every task; more are joined.
+MOST_SENT = 100_000
 #: Bytes by which a bucket is split in one round, and bytes of a trie's edge.
 RADIX, EDGE = 12, 64
 
@@ -112,19 +112,17 @@ def _buckets(rows: DataFrame, bucket_bytes: int, scratch: Scratch) -> DataFrame:
     rows = rows.withColumn("bucket", F.substring("value", 1, RADIX))
     while True:
         sizes = rows.groupBy("bucket").agg(F.sum(F.length("value")).alias("bytes"))
-        if not level:
-            sizes = scratch.write(sizes, "sizes")
-            total = sizes.agg(F.sum("bytes")).first()[0] or 0
-            limit = max(bucket_bytes, total // MOST_SPLIT)
-        large = scratch.write(sizes.filter(F.col("bytes") > limit), f"large{level}")
-        if large.isEmpty():
+        large = scratch.write(sizes.filter(F.col("bytes") > bucket_bytes).select("bucket"), f"large{level}")
+        n_large = large.count()
+        if not n_large:
             return union_all(rows.select("bucket", F.lit(False).alias("split"), "num", "value"), *settled)
-        settled.append(rows.join(F.broadcast(large.select("bucket")), "bucket", "left_anti").select("bucket", F.lit(False).alias("split"), "num", "value"))
-        rest = rows.join(F.broadcast(large.select("bucket")), "bucket", "left_semi")
+        send = F.broadcast if n_large <= MOST_SENT else lambda df: df
+        settled.append(rows.join(send(large), "bucket", "left_anti").select("bucket", F.lit(False).alias("split"), "num", "value"))
+        rest = rows.join(send(large), "bucket", "left_semi")
         ends = rest.groupBy("bucket").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum(F.length("value")).alias("bytes"))
-        ends = ends.select("bucket", F.when(F.col("low") < F.col("high"), _common("low", "high")).alias("common"), F.ceil(F.col("bytes") / F.lit(limit)).alias("parts"))
+        ends = ends.select("bucket", F.when(F.col("low") < F.col("high"), _common("low", "high")).alias("common"), F.ceil(F.col("bytes") / F.lit(bucket_bytes)).alias("parts"))
         ends = scratch.write(ends, f"ends{level}")
-        rest = scratch.write(rest.join(F.broadcast(ends), "bucket"), f"rest{level}")
+        rest = scratch.write(rest.join(send(ends), "bucket"), f"rest{level}")
         same = rest.filter("common is null")
         part = F.pmod(F.xxhash64("num"), F.col("parts"))
         settled.append(same.select(F.concat("bucket", F.lit("\n"), part).alias("bucket"), F.lit(True).alias("split"), "num", "value"))
@@ -144,9 +142,9 @@ def copy_members(records: DataFrame, number: str, label: str, seq: str, *, bucke
     buckets = _buckets(rows, bucket_bytes, scratch)
     counted = scratch.write(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tries, "bucket string, split boolean, num bigint, rep bigint"), "counted")
     parts = counted.filter("split").withColumn("whole", F.substring_index("bucket", "\n", 1))
-    # One terminal for each part of a value that was split: at most one for each bucket_bytes of input.
+    # One terminal for each part of a value that was split.
     joined = parts.groupBy("whole").agg(F.min("rep").alias("least"))
-    return counted.filter("not split").select("num", "rep").unionByName(parts.join(F.broadcast(joined), "whole").select("num", F.col("least").alias("rep")))
+    return counted.filter("not split").select("num", "rep").unionByName(parts.join(joined, "whole").select("num", F.col("least").alias("rep")))
 
 
 def collapsed(records: DataFrame, number: str, label: str, seq: str, **how: int) -> DataFrame:
