@@ -24,8 +24,8 @@ from ringweave.session import Scratch, union_all
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Parts in which the texts of one size are counted and ranked, so that no size is one sorted group.
 RANK_PARTS = 512
-#: Runs that one task sweeps.
-SWEEP_RUNS = 50_000
+#: Runs of a range that one task sweeps in a round's first step; with 2,048 sizes, eight ranges of items.
+SWEEP_RUNS = 256
 
 STATE = "kind string, value bigint, first bigint, n bigint, bin bigint, per bigint"
 

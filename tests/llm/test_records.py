@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from ringweave.llm import copies
 from ringweave.llm.copies import Trie, collapsed, copy_members
 from ringweave.llm.leaks import leaked_items
+from ringweave.llm import packing
 from ringweave.llm.packing import pack, token_counts
 from ringweave.llm.residue import bare_lines, has_open_slot, repeats, residue_documents, residue_verdicts, skeleton, verdict
 from ringweave.llm.topn import top_items
@@ -55,6 +57,13 @@ def test_copies(spark, room):
     assert dict(got) == same_records(rows)
 
 
+def test_more_buckets_to_split_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(copies, "MOST_SENT", 0)
+    rows = record_rows()
+    df = spark.createDataFrame(rows, "n long, label string, seq string")
+    assert dict(tuple(r) for r in copy_members(df, "n", "label", "seq", bucket_bytes=300).collect()) == same_records(rows)
+
+
 def test_collapsed_and_empty(spark):
     rows = record_rows()
     df = spark.createDataFrame(rows, "n long, label string, seq string")
@@ -77,7 +86,9 @@ def text_rows():
     return rows + [(900, None), (901, ""), (902, "word " * 700), (903, " ".join(f"x{i}" for i in range(900))), (904, "<|endoftext|>"), (None, "x"), (905, "é🙂" * 40)]
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("runs", [256, 5])
+def test_packing(spark, monkeypatch, runs):
+    monkeypatch.setattr(packing, "SWEEP_RUNS", runs)
     rows = text_rows()
     df = spark.createDataFrame([(*r, "a", 3) for r in rows], "d long, t string, piece string, size int")
     sizes = {r.doc: r.tokens for r in token_counts(df, "d", "t", VOCABULARY).collect()}
@@ -118,8 +129,8 @@ def leaks_by_words(items, docs, n):
     return {(i, d) for d, t in docs if d is not None for w in [words(t)] for k in range(len(w) - n + 1) for i in owners.get(tuple(w[k : k + n]), ()) if i is not None}
 
 
-@pytest.mark.parametrize("sent", [10_000, 0])
-def test_leaks(spark, sent):
+@pytest.mark.parametrize("digits", [28, 8])  # with 8, nearly every window passes the filter
+def test_leaks(spark, digits):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(300)] + ["the", "a", "K"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 90)))) for i in range(30)] + [(30, None), (31, ""), (None, "a " * 30), (32, "the " * 25)]
@@ -134,7 +145,7 @@ def test_leaks(spark, sent):
     docs += [(200, None), (201, ""), (None, items[0][1]), (202, items[32 - 1][1]), (203, "the " * 40), (204, "x" * 3_000_000 + " " + items[1][1]), (205, "K " * 40)]
     d = spark.createDataFrame([(*r, 1, "w") for r in docs], "id long, text string, band int, words string")
     i = spark.createDataFrame([(*r, "z") for r in items], "id long, text string, doc_id string")
-    got = [tuple(r) for r in leaked_items(i, "id", "text", d, "id", "text", sent=sent).collect()]
+    got = [tuple(r) for r in leaked_items(i, "id", "text", d, "id", "text", filter_digits=digits).collect()]
     assert len(got) == len(set(got))
     assert set(got) == leaks_by_words(items, docs, 20)
 
