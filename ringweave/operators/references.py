@@ -9,9 +9,12 @@ from ringweave.functions.sequences import reverse_complement
 
 
 def dereplicated(df: DataFrame, seq: str, *order: str) -> DataFrame:
-    """The first row of each different sequence, in the given order; by an aggregate, so no sequence is too frequent."""
-    first = df.groupBy(seq).agg(F.min(F.struct(*order)).alias("__first"))
-    return first.select(*[F.col(f"__first.{c}").alias(c) for c in order], seq)
+    """The first row of each different sequence, in the given order; by an aggregate, so no sequence is too frequent.
+
+    Sequences are told apart by 256-bit digests, so that their letters are no key of the shuffle.
+    """
+    first = df.groupBy(F.sha2(seq, 256).alias("__key")).agg(F.min(F.struct(*order, seq)).alias("__first"))
+    return first.select(*[F.col(f"__first.{c}").alias(c) for c in (*order, seq)])
 
 
 def strandless(seq: str):
@@ -20,8 +23,8 @@ def strandless(seq: str):
 
 
 def identical_groups(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, ``representative``, ``size``): records whose sequences are equal or reverse complements of each other."""
-    keyed = df.select(key, strandless(seq).alias("__s"))
+    """(key, ``representative``, ``size``): records whose sequences are equal or reverse complements of each other, by 256-bit digests."""
+    keyed = df.select(key, F.sha2(strandless(seq), 256).alias("__s"))
     groups = keyed.groupBy("__s").agg(F.min(key).alias("representative"), F.count("*").alias("size")).filter("size > 1")
     return keyed.join(groups, "__s").select(key, "representative", "size")
 

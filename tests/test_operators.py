@@ -165,3 +165,25 @@ def test_levels_of_scores_and_bins(spark):
     lengths = spark.createDataFrame([("q", 100)], "contig string, length int")
     row = E.translocations(E.binned(hits, members), lengths).first()
     assert (row.partner, row.matched, row.translocated, row.unaligned) == ("b1", 0.2, 0.06, 0.74)
+
+
+def test_scratch_tables_are_removed(spark, monkeypatch):
+    from ringweave import session
+
+    monkeypatch.setattr(session, "_BASES", set())
+    scratch = session.Scratch(spark, "test")
+    assert scratch.write(spark.range(3), "three").count() == 3
+    session.remove_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{scratch.base}/three").count()
+
+
+def test_no_folder_on_a_cluster():
+    from ringweave.session import shared_folder
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: {"spark.master": "spark://host:7077"}.get(name, default))
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Cluster)
