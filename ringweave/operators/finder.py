@@ -373,10 +373,14 @@ def _bins(factor: float):
         depth, gc, ring, number = (rows[c].to_numpy() for c in ("mean_depth", "gc", "circular", "plasmid_no"))
         free, out, bin_no = np.ones(len(rows), bool), [], 0
         depth_room, gc_room = factor * rows.depth_sd.iloc[0], factor * rows.gc_sd.iloc[0]
+        by_depth = np.argsort(depth, kind="stable")
+        low, high = (np.searchsorted(depth[by_depth], depth + s * depth_room * (1 + 1e-9), side) for s, side in ((-1, "left"), (1, "right")))
         for i in range(len(rows)):
             if free[i]:
-                near = free & (np.abs(depth - depth[i]) <= depth_room) & (np.abs(gc - gc[i]) <= gc_room)
-                taken = np.array([i]) if ring[i] else np.flatnonzero(near)
+                taken = np.array([i])
+                if not ring[i]:
+                    near = np.sort(by_depth[max(low[i] - 1, 0) : high[i] + 1])
+                    taken = near[free[near] & (np.abs(depth[near] - depth[i]) <= depth_room) & (np.abs(gc[near] - gc[i]) <= gc_room)]
                 free[taken] = False
                 out += [(rows.sample_id.iloc[0], number[j], bin_no, k) for k, j in enumerate(taken)]
                 bin_no += 1

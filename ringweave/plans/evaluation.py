@@ -463,3 +463,14 @@ def genome_similarity(spark, folder):
     """How long the largest alignments with other samples are, for samples that list plasmids and for the others."""
     found = W.distribution(listed_group(spark, folder, plasmid_alignments(spark, folder)), ["grp"], "largest")
     return found.select("grp", "minimum", *[F.round(c, 6).alias(c) for c in ("mean", "median", "q75")], "maximum")
+
+
+@query(
+    "scored_samples",
+    f"WITH {PREDS}, s AS ({scores_sql('tool, sample_id')}) SELECT tool, sample_id, f1 FROM s WHERE evaluation = 'union' AND (tool, sample_id) IN (SELECT (tool, sample_id) FROM pd) AND sample_id IN (SELECT sample_id FROM samples WHERE trim(coalesce(plasmids, '')) <> '')",
+)
+def scored_samples(spark, folder):
+    """Union scores of the tools that predict anything, for the samples that list plasmids, in the order of the samples."""
+    listed = listed_group(spark, folder, sample_scores(spark, folder)).filter("grp = 'listed' and evaluation = 'union'")
+    there = predictions(spark, folder).select("tool", "sample_id").distinct()
+    return listed.join(there, ["tool", "sample_id"], "left_semi").select("tool", "sample_id", "f1").orderBy("sample_id", "tool")

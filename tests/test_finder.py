@@ -126,3 +126,35 @@ def test_chains_cross_segments_without_genes_by_default(spark):
         line = P.chain_lines(P.grow(segments, links, dens, rules, min_density=0.8)).first().value
         assert line == "plasmid_0;a+,b+,c+"
     assert (RULES.max_score, RULES.max_gap_nt, RULES.max_gap_segments, RULES.max_length, RULES.max_gc_diff) == (float("inf"), 2000, 2, 1_750_000, 0.15)
+
+
+def test_bins_as_a_plain_loop_makes_them(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, factor = 150, 0.4
+    z, depth, gc, ring = rng.normal(size=n).round(1), rng.normal(3, 1, n).round(2), rng.normal(0.5, 0.05, n).round(2), rng.random(n) < 0.2
+    import pandas as pd
+
+    rows = pd.DataFrame({"sample_id": 7, "plasmid_no": np.arange(n), "mean_depth": depth, "gc": gc, "circular": ring, "z": z, "depth_sd": 0.8, "gc_sd": 0.04})
+    order, free, expected, bin_no = sorted(range(n), key=lambda i: (-z[i], i)), set(range(n)), {}, 0
+    for i in order:
+        if i in free:
+            taken = [i] if ring[i] else [j for j in order if j in free and abs(depth[j] - depth[i]) <= factor * 0.8 and abs(gc[j] - gc[i]) <= factor * 0.04]
+            for k, j in enumerate(taken):
+                expected[j] = (bin_no, k)
+            free -= set(taken)
+            bin_no += 1
+    got = P._bins(factor)(rows)
+    assert {r.plasmid_no: (r.bin_no, r.place) for r in got.itertuples()} == expected and bin_no > 20
+
+
+def test_equal_chains_by_their_ends_are_rings(spark):
+    segments = spark.createDataFrame([(1, "a", "ACGTTGCA" + "C" * 12 + "ACGTTGCA", 28, None, 2.0), (1, "b", "GGGCCA", 6, None, 1.0)], SEG)
+    links = spark.createDataFrame([], LINK)
+    members = spark.createDataFrame([(1, 0, "a", False, 0, "a", "+", 2.0), (1, 1, "b", False, 0, "b", "-", 1.0)], "sample_id int, plasmid_no int, seed string, circular boolean, pos int, seg_name string, orientation string, depth double")
+    hits = spark.createDataFrame([(1, "a", 1, 10), (1, "a", 1, 10), (1, "a", 15, 12)], "sample_id int, seg_name string, sstart int, send int")
+    got = {r.plasmid_no: r for r in P.facts(members, segments, links, spark.createDataFrame([], DENS), hits=hits, overlap_ends=8, use_median=True).collect()}
+    assert (got[0].length, got[0].circular, got[0].num_cds, got[0].mean_depth, got[0].seq) == (20, True, 2, 2.0, "ACGTTGCA" + "C" * 12)
+    assert (got[1].length, got[1].circular, got[1].num_cds, got[1].density) == (6, False, 0, 0.0)
+    assert P.record_heads(P.facts(members, segments, links, spark.createDataFrame([], DENS), hits=hits), use_median=True).filter("plasmid_no = 0").first().head.count("median_read_depth=2.000000\t") == 1
