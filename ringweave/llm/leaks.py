@@ -7,8 +7,8 @@ MinHash over the five-word shingles suffices. Two equal windows have equal MinHa
 shares its MinHash with most of its neighbours, so a text has about two signatures for ``passage`` words. Candidates are
 then verified by the exact words of the window.
 
-The documents are read once: every task has a filter of the items' windows, of a fixed number of bits whatever the number of
-items, and passes on only windows that collide with it. The more windows the items have, the more pass in vain, but none
+The documents are read once: every task has filters of the items' MinHashes and windows, of a fixed number of bits whatever
+the number of items, and passes on only windows that collide with both. The more windows the items have, the more pass in vain, but none
 is missed; items and windows are then joined by signature and words.
 """
 
@@ -78,6 +78,13 @@ class Words:
             out = out * np.uint64(0xD6E8FEB86659FD93) + self.hash[j : j + m]
         return _mix(out)
 
+    def rolled_at(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The same for the runs that begin at some places only."""
+        out = np.zeros(len(at), np.uint64)
+        for j in range(width):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + self.hash[at + j]
+        return _mix(out)
+
     def windows(self, passage: int) -> tuple[np.ndarray, np.ndarray]:
         """Places where a window lies in one text, and each window's MinHash."""
         m = len(self.hash) - passage + 1
@@ -129,13 +136,16 @@ def _filter_place(hashes: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _colliding(passage: int, sent=None):
-    """(id, band, words) of each text's windows; sent: the filter that windows must pass."""
+    """(id, band, words) of each text's windows; sent: the filters that MinHashes and windows must pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words in _texts(batches):
             at, low = words.windows(passage)
             if sent is not None:
-                hit = sent.value.passes(words.rolled(passage)[at]) if len(at) else np.zeros(0, bool)
+                bands, whole = sent.value
+                hit = bands.passes(low)
+                at, low = at[hit], low[hit]
+                hit = whole.passes(words.rolled_at(at, passage))
                 at, low = at[hit], low[hit]
             found = {(int(words.owner[i]), words.words(i, passage)): int(b) for i, b in zip(at, low.view(np.int64))}
             yield pa.RecordBatch.from_arrays(
@@ -146,15 +156,16 @@ def _colliding(passage: int, sent=None):
 
 
 def _keys(passage: int, digits: int):
-    """(place, bits) of the filter that a batch's windows set."""
+    """(whole, place, bits) of the filters that a batch's windows set: by their MinHash, and by a hash of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words in _texts(batches):
-            at, _ = words.windows(passage)
-            if len(at):
-                place, bit = _filter_place(np.unique(words.rolled(passage)[at]), digits)
-                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(place[first]), pa.array(np.bitwise_or.reduceat(np.uint64(1) << bit, first).view(np.int64))], names=["place", "bits"])
+            at, low = words.windows(passage)
+            for whole, hashes in ((False, low), (True, words.rolled_at(at, passage))):
+                place, bit = _filter_place(np.unique(hashes), digits)
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+                bits = np.bitwise_or.reduceat(np.uint64(1) << bit, first).view(np.int64) if len(first) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), whole)), pa.array(place[first]), pa.array(bits)], names=["whole", "place", "bits"])
 
     return run
 
@@ -164,19 +175,20 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _send(spark: SparkSession, wanted: DataFrame, passage: int, digits: int):
-    """The filter in every task: an aggregate with at most 2 to the power of digits - 6 rows."""
-    found = wanted.mapInArrow(_keys(passage, digits), "place int, bits bigint").groupBy("place").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    return spark.sparkContext.broadcast(Filter(found.column("place").to_numpy(), found.column("bits").to_numpy(), digits))
+    """The filters in every task: an aggregate with at most 2 to the power of digits - 5 rows."""
+    found = wanted.mapInArrow(_keys(passage, digits), "whole boolean, place int, bits bigint").groupBy("whole", "place").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    whole, place, bits = (found.column(c).to_numpy() for c in ("whole", "place", "bits"))
+    return spark.sparkContext.broadcast(tuple(Filter(place[whole == w], bits[whole == w], digits) for w in (False, True)))
 
 
-def leaked_items(items: DataFrame, item: str, item_text: str, documents: DataFrame, doc: str, doc_text: str, *, passage: int = 20, filter_digits: int = 28) -> DataFrame:
+def leaked_items(items: DataFrame, item: str, item_text: str, documents: DataFrame, doc: str, doc_text: str, *, passage: int = 20, filter_digits: int = 27) -> DataFrame:
     """``item_id``, ``doc_id``: items and documents that have ``passage`` consecutive words in common.
 
     - A word is a longest run of ASCII letters and digits, case ignored; whatever stands between words is ignored.
     - Null and empty texts, texts of fewer words, and null ids give no rows. Repeated rows change nothing. Whole texts
       of any length are read. Other columns are ignored, whatever they are called.
 
-    filter_digits: binary digits of a window's hash that tell its bit in the filter; 28 make at most 4 million numbers.
+    filter_digits: binary digits of a window's hash that tell its bit in a filter; 27 make at most 2 million numbers in either.
     """
     if passage < SHINGLE:
         raise ValueError(f"a passage has at least {SHINGLE} words")
