@@ -36,6 +36,7 @@ class Growth:
     roulette: int | None = None  # seed of a draw by depth among the allowed steps; one step, as published
     weights: tuple[float | None, float | None, float | None] = (1.0, 1.0, 1.0)  # depth, density, GC; None: the seeds' deviation
     use_median: bool = False  # a chain's depth is the median over its letters, not the mean
+    fan_out: int = 1  # best steps taken at once; above 1 candidates branch and are collections, not chains; link-based only
 
 
 MEMBERS = "sample_id int, component string, seed string, seed_place int, found int, pos int, member int, seg_name string, orientation string, depth double, score double, circular boolean"
@@ -50,6 +51,7 @@ class Chain:
         self.weights = (facts[seed].w_depth, facts[seed].w_density, facts[seed].w_gc)
         self.members = [[0, seed, "+", self.weights[1] * (1 - facts[seed].density), 0, 0]]
         self.uses, self.closed, self.next_id = Counter([seed]), False, 1
+        self.sides: dict[int, set[str]] = {0: set()}  # on which sides each member goes on
 
     def average(self, value) -> float:
         total = sum(self.facts[m[1]].length for m in self.members)
@@ -75,6 +77,14 @@ class Chain:
         """A link and its mirror image are the same."""
         return min((a, b), ((b[0], FLIP[b[1]]), (a[0], FLIP[a[1]])))
 
+    def ends(self) -> list[tuple]:
+        """(side, member, member at the other end) where the candidate may go on."""
+        if self.rules.fan_out == 1:
+            return [("left", self.members[0], self.members[-1]), ("right", self.members[-1], self.members[0])]
+        if len(self.members) == 1:
+            return [(side, self.members[0], self.members[0]) for side in ("left", "right")]
+        return [("right" if "left" in self.sides[m[0]] else "left", m, m) for m in self.members if len(self.sides[m[0]]) == 1]
+
     def steps(self, depths: dict, ways: dict, least_depth: float) -> list[tuple]:
         """Allowed continuations (score, order, side, end, (name, orientation), link, share), the best first."""
         rules, found = self.rules, []
@@ -83,7 +93,7 @@ class Chain:
         room = rules.max_length - sum(self.facts[m[1]].length for m in self.members)
         if depth <= 0 or (self.closed and rules.by_segment):
             return []
-        for side, end, far in (("left", self.members[0], self.members[-1]), ("right", self.members[-1], self.members[0])):
+        for side, end, far in self.ends():
             here = (end[1], end[2])
             for there in ways.get((side, *here), ()):
                 name, fact = there[0], self.facts[there[0]]
@@ -106,7 +116,9 @@ class Chain:
             self.closed = True
             return
         gap = (0, 0) if fact.has_genes else (end[4] + fact.length, end[5] + 1)
-        self.members.insert(0 if side == "left" else len(self.members), [self.next_id, name, orientation, score, *gap])
+        self.sides[end[0]].add(side)
+        self.sides[self.next_id] = {"right" if side == "left" else "left"}
+        self.members.insert(0 if side == "left" and self.rules.fan_out == 1 else len(self.members), [self.next_id, name, orientation, score, *gap])
         self.links.add(link)
         self.uses[name] += 1
         self.next_id += 1
@@ -114,7 +126,7 @@ class Chain:
     def close(self) -> None:
         """Ends that are the same segment the same way round are one; the worse copy goes, but never the seed."""
         first, last = self.members[0], self.members[-1]
-        if not self.rules.by_segment and len(self.members) > 1 and first[1:3] == last[1:3]:
+        if not self.rules.by_segment and self.rules.fan_out == 1 and len(self.members) > 1 and first[1:3] == last[1:3]:
             drop_first = last[0] == 0 or (first[0] != 0 and first[3] >= last[3])
             self.members.pop(0 if drop_first else -1)
             self.uses[first[1]] -= 1
@@ -139,7 +151,8 @@ def _grow(rules: Growth):
                 if rules.roulette is not None:
                     chain.take(draw.choices(steps, [s[-1] for s in steps])[0])
                     break
-                chain.take(steps[0])
+                for step in steps[: rules.fan_out]:
+                    chain.take(step)
             chain.close()
             average = chain.depth(lambda n: depths[n] / chain.uses[n])
             shares = {n: min(depths[n] / k, average) for n, k in chain.uses.items() if k}
@@ -264,6 +277,19 @@ def facts(members: DataFrame, segments: DataFrame, links: DataFrame, densities:
     return found.drop("cut").withColumn("gc", F.when(F.col("seq").isNotNull(), gc_fraction("seq")))
 
 
+def collection_facts(members: DataFrame, segments: DataFrame, densities: DataFrame, *, use_median: bool = False) -> DataFrame:
+    """Facts of candidates that are no chains (fan-out above 1): sums over whole members, no sequence."""
+    by = ["sample_id", "plasmid_no"]
+    known = G.normal_segments(segments).select("sample_id", "seg_name", "length", F.col("gc").alias("seg_gc"))
+    joined = members.join(known, ["sample_id", "seg_name"]).join(densities.select("sample_id", "seg_name", "density"), ["sample_id", "seg_name"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+    found = joined.groupBy(*by, "seed").agg(
+        F.sum("length").cast("bigint").alias("length"), F.count("*").alias("n_members"), mean_of("depth", "length").alias("mean_depth"), mean_of("density", "length").alias("density"), mean_of("seg_gc", "length").alias("gc")
+    )
+    if use_median:
+        found = found.drop("mean_depth").join(weighted_median(joined, by, "depth", "length", "mean_depth"), by, "left")
+    return found.select(*by, "seed", F.lit(False).alias("circular"), "length", "n_members", "mean_depth", "density", F.lit(None).cast("string").alias("seq"), "gc")
+
+
 def chain_coverage(members: DataFrame, segments: DataFrame, links: DataFrame, hits: DataFrame, *, published: bool = False, cuts: DataFrame | None = None) -> DataFrame:
     """(sample_id, plasmid_no, covered, density): positions of the chain that genes cover, overlaps counted once.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringweave.functions.sequences import reverse_complement
+from ringweave.functions.sequences import replicon_accessions, reverse_complement, without_version
 
 
 def dereplicated(df: DataFrame, seq: str, *order: str) -> DataFrame:
@@ -76,3 +76,16 @@ def database_counts(plasmids: DataFrame, genes: DataFrame, blacklist: DataFrame,
     p = listed.agg(F.count("*").alias("plasmids"), F.count_if(black).alias("blacklisted"), F.count_if(~black & ~fits).alias("wrong_length"), F.count_if(~black & fits & late).alias("late"), F.count_if(~black & fits & ~late).alias("used"))
     g = genes.agg(F.count("*").alias("genes"), F.count_if(F.length("seq") < min_gene).alias("short_genes"))
     return p.join(g, F.lit(True)).join(found.agg(F.count("*").alias("genes_used")), F.lit(True))  # one row each
+
+
+def tabled(rows: DataFrame, *, source: str = "both", released_before: str | None = None) -> DataFrame:
+    """(accession): the different accessions, without versions, that a table of plasmids names and that were released in time.
+
+    rows: ``Replicons``, several in one field separated by semicolons, and ``Release Date``, compared as text, strictly.
+    """
+    if released_before is not None:
+        rows = rows.filter(F.col("`Release Date`") < released_before)
+    each = rows.select(F.explode(F.split("Replicons", ";")).alias("replicon")).select(F.trim("replicon").alias("replicon"))
+    names = replicon_accessions("replicon", source)
+    names = F.explode(names) if source == "both" else names
+    return each.select(names.alias("a")).filter("a is not null and a <> ''").select(without_version("a").alias("accession")).distinct()

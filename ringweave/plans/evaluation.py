@@ -474,3 +474,16 @@ def scored_samples(spark, folder):
     listed = listed_group(spark, folder, sample_scores(spark, folder)).filter("grp = 'listed' and evaluation = 'union'")
     there = predictions(spark, folder).select("tool", "sample_id").distinct()
     return listed.join(there, ["tool", "sample_id"], "left_semi").select("tool", "sample_id", "f1").orderBy("sample_id", "tool")
+
+
+@query(
+    "tabled_accessions",
+    """WITH l AS (SELECT sample_id, trim(unnest(string_split(plasmids, ','))) AS p FROM samples WHERE collected_at < TIMESTAMP '2022-01-01')
+SELECT DISTINCT string_split(p, '.')[1] AS accession FROM l WHERE p <> '' UNION SELECT DISTINCT string_split(substr(p, 4), '.')[1] FROM l WHERE p <> '' AND length(p) > 3""",
+)
+def tabled_accessions(spark, folder):
+    """Accessions of a table of plasmids composed of the samples: either source, released in time."""
+    listed = F.filter(F.transform(F.split("plasmids", ","), lambda p: F.trim(p)), lambda p: p != "")
+    text = F.array_join(F.transform(listed, lambda p: F.concat(F.lit("plasmid:"), p, F.lit("/"), F.substring(p, 4, 99))), "; ")
+    rows = table(spark, folder, "samples").select(text.alias("Replicons"), F.date_format("collected_at", "yyyy-MM-dd").alias("Release Date"))
+    return R.tabled(rows, released_before="2022-01-01")

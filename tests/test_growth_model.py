@@ -129,3 +129,52 @@ def test_growth_follows_its_rules(spark, which):
         grown = model(facts, [x[1:5] for x in link if x[0] == sample], [r.seg_name for r in order], least, rules)
         expected += [(sample, seed, tuple((n, o, round(d, 9)) for n, o, d in took), ring) for seed, took, ring in grown]
     assert len(found) > 20 and found == sorted(expected)
+
+
+def branching(facts, links, seed, least, rules):
+    """The first candidate of a graph with a fan-out above 1: names and ways in the order in which they were added."""
+    after, before = defaultdict(set), defaultdict(set)
+    for a, x, b, y in links:
+        for h, t in (((a, x), (b, y)), ((b, OTHER[y]), (a, OTHER[x]))):
+            after[h].add(t)
+            before[t].add(h)
+    members, open_sides, used = [(seed, "+")], [{"l", "r"}], set()
+    while True:
+        names, total = Counter(n for n, _ in members), sum(facts[n][0] for n, _ in members)
+        depth = sum(facts[n][1] / names[n] * facts[n][0] for n, _ in members) / total
+        gc = sum(facts[n][2] * facts[n][0] for n, _ in members) / total
+        options = []
+        for i, (n, o) in enumerate(members):
+            if len(members) > 1 and len(open_sides[i]) != 1:
+                continue
+            for side in sorted(open_sides[i]):
+                for m, w in (before if side == "l" else after)[n, o]:
+                    pair = ((m, w), (n, o)) if side == "l" else ((n, o), (m, w))
+                    mirror = tuple((x, OTHER[y]) for x, y in reversed(pair))
+                    share = facts[m][1] / (names[m] + 1)
+                    if pair in used or mirror in used or share < least or abs(gc - facts[m][2]) > rules.max_gc_diff or total + facts[m][0] > rules.max_length:
+                        continue
+                    options.append((abs(1 - share / depth) + 1 - facts[m][3] + abs(gc - facts[m][2]), i, side, m, w, pair))
+        if not options:
+            return members
+        for _, i, side, m, w, pair in sorted(options)[: rules.fan_out]:
+            members.append((m, w))
+            open_sides[i].discard(side)
+            open_sides.append({side})
+            used.add(pair)
+
+
+def test_growth_with_a_fan_out(spark):
+    rng = random.Random(77)
+    rules, n = P.Growth(max_gc_diff=0.3, max_gap_nt=10**9, max_length=500, fan_out=2), 25
+    seg = [(1, f"n{i:02}", "".join(rng.choice("ACGT") for _ in range(rng.randrange(20, 60))), None, None, round(1 + rng.random() * 3, 3)) for i in range(n)]
+    link = [(1, f"n{rng.randrange(n):02}", rng.choice("+-"), f"n{rng.randrange(n):02}", rng.choice("+-"), "5M") for _ in range(45)]
+    dens = [(1, f"n{i:02}", round(rng.random(), 2), True) for i in range(n)]
+    segments, links, densities = spark.createDataFrame(seg, SEG), spark.createDataFrame(link, LINK), spark.createDataFrame(dens, DENS)
+    got = P.grow(segments, links, densities, rules, min_density=0.4).filter("plasmid_no = 0").orderBy("pos").collect()
+    facts = {m: (len(q), d, sum(c in "GC" for c in q) / len(q), dens[i][2]) for i, (_, m, q, _, _, d) in enumerate(seg)}
+    least = 0.3 * median([(f[1], f[0]) for f in facts.values()])
+    expected = branching(facts, [x[1:5] for x in link], got[0].seed, least, rules)
+    assert len(got) > 5 and [(r.seg_name, r.orientation) for r in got] == expected
+    whole = P.collection_facts(P.grow(segments, links, densities, rules, min_density=0.4), segments, densities).filter("plasmid_no = 0").first()
+    assert whole.length == sum(facts[m][0] for m, _ in expected) and whole.n_members == len(expected)
