@@ -90,22 +90,22 @@ def level_scores(refs: DataFrame, order: list[str], step: int = 20) -> DataFrame
     return found.select("tool", "level", F.when((F.col("level") == 0) | (F.col("level") == F.col("__all")), 1).otherwise(3).alias("repetitions"), "recall")
 
 
-def translocations(hits: DataFrame, lengths: DataFrame, *, side: str = "q") -> DataFrame:
+def translocations(hits: DataFrame, lengths: DataFrame, *, side: str = "q", by: list[str] = ()) -> DataFrame:
     """Per record: its best partner, and the shares of its positions that the partner covers, only others do, none does.
 
     The best partner covers most positions, the smaller name of equal ones. What only others cover is the union of all
     stretches less that of the best, so no stretch is cut. lengths: (contig, length); self-hits are left out. Covered
-    positions beyond a record's length count as its last ones.
+    positions beyond a record's length count as its last ones. by: further columns of both tables whose values are kept apart.
     """
     me, other, a, b = ("qseqid", "sseqid", "qstart", "qend") if side == "q" else ("sseqid", "qseqid", "sstart", "send")
-    rows = hits.filter(F.col("qseqid") != F.col("sseqid")).select(F.col(me).alias("contig"), F.col(other).alias("partner"), F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = hits.filter(F.col("qseqid") != F.col("sseqid")).select(*by, F.col(me).alias("contig"), F.col(other).alias("partner"), F.col(a).alias("a"), F.col(b).alias("b"))
     covered = lambda keys: periods_and_gaps(rows, keys, {"": ("a", "b")}).filter("kind = 'period'").groupBy(*keys).agg(F.sum(F.col("pos_to") - F.col("pos_from") + 1).alias("n"))
-    best = covered(["contig", "partner"]).groupBy("contig").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("partner"))).alias("best"))
-    every = covered(["contig"]).withColumnRenamed("n", "any")
-    joined = lengths.select("contig", "length").join(best, "contig", "left").join(every, "contig", "left")
+    best = covered([*by, "contig", "partner"]).groupBy(*by, "contig").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("partner"))).alias("best"))
+    every = covered([*by, "contig"]).withColumnRenamed("n", "any")
+    joined = lengths.select(*by, "contig", "length").join(best, [*by, "contig"], "left").join(every, [*by, "contig"], "left")
     matched, touched = F.least(F.coalesce(-F.col("best.n"), F.lit(0)), F.col("length")), F.least(F.coalesce("any", F.lit(0)), F.col("length"))
     return joined.select(
-        "contig", "length", F.col("best.partner").alias("partner"), F.try_divide(matched, F.col("length")).alias("matched"),
+        *by, "contig", "length", F.col("best.partner").alias("partner"), F.try_divide(matched, F.col("length")).alias("matched"),
         F.try_divide(touched - matched, F.col("length")).alias("translocated"), F.try_divide(F.col("length") - touched, F.col("length")).alias("unaligned"),
     )
 
@@ -113,9 +113,9 @@ def translocations(hits: DataFrame, lengths: DataFrame, *, side: str = "q") -> D
 def binned(hits: DataFrame, members: DataFrame) -> DataFrame:
     """Hits whose subject is a member of a bin, with the bin in place of the subject: a bin's stretches are those of all its members.
 
-    members: (contig, bin). A contig in several bins gives a hit for each.
+    members: (contig, bin), and further columns, which the hits get. A contig in several bins gives a hit for each.
     """
-    return hits.join(members.select(F.col("contig").alias("sseqid"), "bin"), "sseqid").drop("sseqid").withColumnRenamed("bin", "sseqid")
+    return hits.join(members.withColumnRenamed("contig", "sseqid"), "sseqid").drop("sseqid").withColumnRenamed("bin", "sseqid")
 
 
 def scores_from_totals(refs: DataFrame, preds: DataFrame, keys: list[str]) -> DataFrame:

@@ -311,21 +311,20 @@ BIN_KEYS = f"""gcs AS (SELECT contig, sample_id, gc FROM (SELECT {{acc}} AS cont
 bn AS (SELECT contig, factor, CASE WHEN factor = 0 OR sample_id IS NULL THEN contig ELSE 'bin_' || sample_id || '_' || CAST(floor(gc * 100 / factor) AS BIGINT) END AS bin FROM gcs, (VALUES (0), (2), (10)) f(factor))"""
 
 
-def bin_members(spark, folder, factor: int):
-    """(contig, bin): received sequences of a sample by classes of GC."""
+def bin_members(spark, folder):
+    """(contig, factor, bin): received sequences of a sample by classes of GC."""
     rows = table(spark, folder, "df_references").select(S.accession_in("id").alias("contig"), "sample_id", "seq").filter("contig is not null and length(seq) > 0")
     facts = rows.groupBy("contig").agg(F.min("sample_id").alias("sample_id"), F.max(S.gc_fraction("seq")).alias("gc")).join(contig_lengths(spark, folder), "contig", "left_semi")
-    if not factor:
-        return facts.select("contig", F.col("contig").alias("bin"))
-    cls = F.floor(F.col("gc") * 100 / factor).cast("bigint").cast("string")
-    return facts.select("contig", F.coalesce(F.concat(F.lit("bin_"), F.col("sample_id").cast("string"), F.lit("_"), cls), F.col("contig")).alias("bin"))
+    facts = facts.select("contig", "sample_id", "gc", F.explode(F.array(*map(F.lit, FACTORS))).alias("factor"))
+    cls = F.floor(F.try_divide(F.col("gc") * 100, F.col("factor"))).cast("bigint").cast("string")
+    return facts.select("contig", "factor", F.coalesce(F.concat(F.lit("bin_"), F.col("sample_id").cast("string"), F.lit("_"), cls), F.col("contig")).alias("bin"))
 
 
 def binned_translocations(spark, folder):
     """(factor, contig, ...): each record against the bins of its partners, its own hits left out."""
     hits = table(spark, folder, "matches").join(table(spark, folder, "genes").select(F.col("gene_id").alias("qseqid")), "qseqid", "left_anti").filter("qseqid <> sseqid")
-    lengths = contig_lengths(spark, folder)
-    return E.united(*[E.translocations(E.binned(hits, bin_members(spark, folder, k)), lengths).withColumn("factor", F.lit(k)) for k in FACTORS])
+    lengths = contig_lengths(spark, folder).withColumn("factor", F.explode(F.array(*map(F.lit, FACTORS))))
+    return E.translocations(E.binned(hits.select("qseqid", "sseqid", "qstart", "qend"), bin_members(spark, folder)), lengths, by=["factor"])
 
 
 BINNED = f"""{CONTIGS}, {BIN_KEYS.format(acc=ACC)},
