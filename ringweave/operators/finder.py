@@ -46,12 +46,21 @@ FLIP = {"+": "-", "-": "+"}
 class Chain:
     """A candidate under way: members from left to right, each [id, name, orientation, score, gap nt, gap segments]."""
 
-    def __init__(self, seed: str, facts: dict, rules: Growth):
-        self.facts, self.rules, self.links = facts, rules, set()
+    def __init__(self, seed: str, facts: dict, depths: dict, rules: Growth):
+        self.facts, self.depths, self.rules, self.links = facts, depths, rules, set()
+        # Sums over the members' letters; the occurrences of a segment share its depth, so it counts once.
+        self.letters, self.depth_sum, self.gc_sum = 0, 0.0, 0.0
         self.weights = (facts[seed].w_depth, facts[seed].w_density, facts[seed].w_gc)
         self.members = [[0, seed, "+", self.weights[1] * (1 - facts[seed].density), 0, 0]]
         self.uses, self.closed, self.next_id = Counter([seed]), False, 1
         self.sides: dict[int, set[str]] = {0: set()}  # on which sides each member goes on
+        self._count(seed, True)
+
+    def _count(self, name: str, new: bool) -> None:
+        fact = self.facts[name]
+        self.letters += fact.length
+        self.gc_sum += fact.gc * fact.length
+        self.depth_sum += self.depths[name] * fact.length if new else 0.0
 
     def average(self, value) -> float:
         total = sum(self.facts[m[1]].length for m in self.members)
@@ -85,12 +94,12 @@ class Chain:
             return [(side, self.members[0], self.members[0]) for side in ("left", "right")]
         return [("right" if "left" in self.sides[m[0]] else "left", m, m) for m in self.members if len(self.sides[m[0]]) == 1]
 
-    def steps(self, depths: dict, ways: dict, least_depth: float) -> list[tuple]:
+    def steps(self, ways: dict, least_depth: float) -> list[tuple]:
         """Allowed continuations (score, order, side, end, (name, orientation), link, share), the best first."""
-        rules, found = self.rules, []
+        rules, depths, found = self.rules, self.depths, []
         split = (lambda n, k: 1) if rules.by_segment else (lambda n, k: self.uses[n] + k)
-        depth, gc = self.depth(lambda n: depths[n] / split(n, 0)), self.average(lambda n: self.facts[n].gc)
-        room = rules.max_length - sum(self.facts[m[1]].length for m in self.members)
+        depth = self.depth(lambda n: depths[n] / split(n, 0)) if rules.use_median else self.depth_sum / (self.letters or 1)
+        gc, room = self.gc_sum / (self.letters or 1), rules.max_length - self.letters
         if depth <= 0 or (self.closed and rules.by_segment):
             return []
         for side, end, far in self.ends():
@@ -120,6 +129,7 @@ class Chain:
         self.sides[self.next_id] = {"right" if side == "left" else "left"}
         self.members.insert(0 if side == "left" and self.rules.fan_out == 1 else len(self.members), [self.next_id, name, orientation, score, *gap])
         self.links.add(link)
+        self._count(name, not self.uses[name])
         self.uses[name] += 1
         self.next_id += 1
 
@@ -145,9 +155,9 @@ def _grow(rules: Growth):
         draw = random.Random(f"{rules.roulette}:{nodes.sample_id.iloc[0]}:{nodes.component.iloc[0]}") if len(nodes) else None
         out, found = [], 0
         while seeds:
-            chain = Chain(seeds[0], facts, rules)
+            chain = Chain(seeds[0], facts, depths, rules)
             least = facts[seeds[0]].least_depth
-            while steps := chain.steps(depths, ways, least):
+            while steps := chain.steps(ways, least):
                 if rules.roulette is not None:
                     chain.take(draw.choices(steps, [s[-1] for s in steps])[0])
                     break
